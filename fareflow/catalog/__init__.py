@@ -1,8 +1,8 @@
 """Registered queries and their DuckDB reference SQL, by family."""
 
-from fareflow.catalog import associations, features, ingest, profiles
+from fareflow.catalog import associations, evaluations, features, ingest, profiles, reporting
 
-FAMILIES = [ingest, profiles, features, associations]
+FAMILIES = [ingest, profiles, features, associations, evaluations, reporting]
 
 
 def all_queries() -> dict:

@@ -43,7 +43,7 @@ SC = """sc as (
          case when l_shipdate < timestamp '2000-03-01' then 'train'
               when l_shipdate < timestamp '2001-01-01' then 'val' else 'test' end as split,
          round(((l_orderkey * 7 + l_linenumber * 13) % 100 + case when l_returnflag = 'R' then 30 else 0 end) / cast(130 as double), 2) as p_a,
-         round(((l_orderkey * 11 + l_linenumber * 17) % 100 + case when l_returnflag = 'R' then 20 else 0 end) / cast(120 as double), 2) as p_b,
+         round(((l_orderkey * 11 + l_linenumber * 17) % 100 + case when l_returnflag = 'R' then 15 else 0 end) / cast(115 as double), 2) as p_b,
          round(((l_orderkey * 3 + l_linenumber * 29) % 100 + case when l_returnflag = 'R' then 10 else 0 end) / cast(110 as double), 2) as p_c,
          cast(l_shipdate as date) as date
   from lineitem)"""

@@ -64,11 +64,26 @@ def cyclic(c: str | Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def _looks_like_time(time: Column) -> Column:
+    return (F.length(time) == 8) & (F.substring(time, 3, 1) == ":") & (F.substring(time, 6, 1) == ":")
+
+
 def booking_timestamp(date: str = "date", time: str = "time") -> Column:
-    """Combine date and HH:MM:SS text; text that does not parse gives NULL."""
-    text = F.concat_ws(" ", F.date_format(F.col(date), "yyyy-MM-dd"), F.col(time))
-    parsed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.when(F.col(date).isNotNull() & F.col(time).isNotNull(), parsed).cast("timestamp_ntz")
+    """Combine date and HH:MM:SS text; text that does not parse gives NULL.
+
+    A cast is several times faster than parsing with a pattern, so the pattern is checked by position.
+    """
+    d, t = F.col(date), F.col(time)
+    text = F.concat(d.cast("string"), F.lit(" "), t)
+    return F.when(_looks_like_time(t), text.try_cast("timestamp_ntz"))
+
+
+def minute_of_day(time: str = "time") -> Column:
+    """Minute 0..1439 of HH:MM:SS text; text that does not parse gives NULL."""
+    t = F.col(time)
+    h, m, s = (F.substring(t, i, 2).try_cast("int") for i in (1, 4, 7))
+    good = _looks_like_time(t) & h.between(0, 23) & m.between(0, 59) & s.between(0, 59)
+    return F.when(good, h * 60 + m)
 
 
 def f_beta(precision: str | Column, recall: str | Column, beta: float) -> Column:

@@ -215,24 +215,61 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.nullif(scale, F.lit(0.0)))
 
 
+def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per ordered pair i <= j: n, mean_i, mean_j and the sum of centred products, over complete rows.
+
+    Each task folds its Arrow batches into one k x k matrix with numpy, which is far cheaper than k * k
+    JVM aggregate buffers per row; the task results are merged by a group-by of k * k rows per task.
+    """
+    k = len(columns)
+    # nulls are dropped inside the fold: a filter would be pushed below the projections and repeat them
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+
+    def fold(batches):
+        n, mean, m2 = 0, np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            x = x[~np.isnan(x).any(axis=1)]
+            if len(x):
+                centre = x.mean(axis=0)
+                c = x - centre
+                gap, total = centre - mean, n + len(x)
+                m2 += c.T @ c + np.outer(gap, gap) * (n * len(x) / total)
+                mean += gap * (len(x) / total)
+                n = total
+        if n:
+            i, j = np.triu_indices(k)
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "mi": mean[i], "mj": mean[j], "m2": m2[i, j]})
+
+    parts = rows.mapInPandas(fold, "i int, j int, n bigint, mi double, mj double, m2 double")
+    n, mi, mj = F.col("n"), F.col("mi"), F.col("mj")
+    return parts.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum("m2").alias("within"), F.sum(n * mi).alias("si"), F.sum(n * mj).alias("sj"),
+        F.sum(n * mi * mj).alias("sij"),
+    ).select("i", "j", "n", (F.col("si") / F.col("n")).alias("mean_i"), (F.col("sj") / F.col("n")).alias("mean_j"),
+             (F.col("within") + F.col("sij") - F.col("si") * F.col("sj") / F.col("n")).alias("centred"))
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], complete: bool = False) -> DataFrame:
-    """Pearson r for every pair (a before b) in one aggregation.
+    """Pearson r for every pair, a before b in column order.
 
-    ``complete`` states that no column has nulls, so that each standard deviation is shared by all pairs.
+    ``complete`` uses only rows without nulls and suits many columns; otherwise each pair skips its own
+    nulls, in one aggregation.
     """
     columns = list(columns)
-    pairs = list(combinations(range(len(columns)), 2))
-    x = [F.col(c).cast("double") for c in columns]
     if complete:
-        wide = df.agg(*[F.stddev_pop(x[i]).alias(f"s{i}") for i in range(len(columns))],
-                      *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs])
-        r = {(i, j): F.try_divide(F.col(f"c{i}_{j}"), F.nullif(F.col(f"s{i}") * F.col(f"s{j}"), F.lit(0.0)))
-             for i, j in pairs}
-    else:
-        wide = df.agg(*[pearson(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
-        r = {(i, j): F.col(f"c{i}_{j}") for i, j in pairs}
+        m = co_moments(df, columns)
+        own = m.where(F.col("i") == F.col("j"))
+        side = lambda c: own.select(F.col("i").alias(c), F.col("centred").alias(f"v{c}"))
+        names = F.array(*[F.lit(c) for c in columns])
+        scale = F.sqrt(F.col("vi") * F.col("vj"))
+        return (m.where(F.col("i") < F.col("j")).join(F.broadcast(side("i")), "i").join(F.broadcast(side("j")), "j")  # k rows
+                .select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
+                        F.try_divide(F.col("centred"), F.nullif(scale, F.lit(0.0))).alias("r")))
+    pairs = list(combinations(range(len(columns)), 2))
+    wide = df.agg(*[pearson(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
     rows = F.array(*[F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"),
-                              r[i, j].alias("r")) for i, j in pairs])
+                              F.col(f"c{i}_{j}").alias("r")) for i, j in pairs])
     return wide.select(F.inline(rows))
 
 
@@ -260,14 +297,15 @@ def point_biserial(df: DataFrame, x: str, by: str, target: str = "is_cancelled",
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Variance inflation factors without intercept: VIF_i = G_ii * inverse(G)_ii.
 
-    The uncentred Gram matrix is one aggregation over the rows; only its k x k values are inverted.
+    The uncentred k x k Gram matrix G follows from the co-moments; only those k * k values are inverted.
     Linearly dependent columns get infinity.
     """
     columns = list(columns)
     k = len(columns)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    product = F.col("centred") + F.col("n") * F.col("mean_i") * F.col("mean_j")
+    gram = co_moments(df, columns).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "j", product.alias("g")))), lambda s: s["g"]).alias("g"))
     upper = [(i, j) for i in range(k) for j in range(i, k)]
-    gram = rows.agg(F.array(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in upper]).alias("g"))
 
     def invert(batches):
         for batch in batches:

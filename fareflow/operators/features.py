@@ -149,14 +149,14 @@ def grouped_location(df: DataFrame, column: str, top: DataFrame) -> DataFrame:
         f"{column}_grouped", F.coalesce(F.col(f"{column}_grouped"), F.lit(OTHER)))
 
 
-def fit_target_encoding(counts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+def fit_target_encoding(counts: DataFrame, smoothing: float = SMOOTHING, *carry: str) -> DataFrame:
     """Smoothed mean per key and the global mean under a NULL key, from (key, n, pos) counts."""
     t = totals_of(counts, n=F.sum("n"), pos=F.sum("pos"))
     overall = ratio(t["pos"], t["n"])
     smoothed = (F.coalesce(F.col("pos"), F.lit(0)) + smoothing * overall) / (F.col("n") + smoothing)
-    keys = counts.where(F.col("key").isNotNull()).select("key", smoothed.alias("encoded"))
-    whole = counts.agg(F.lit(None).cast("string").alias("key"),
-                       ratio(F.sum("pos"), F.sum("n")).alias("encoded"))
+    keys = counts.where(F.col("key").isNotNull()).select("key", smoothed.alias("encoded"), *carry)
+    whole = counts.agg(F.lit(None).cast("string").alias("key"), ratio(F.sum("pos"), F.sum("n")).alias("encoded"),
+                       *[F.lit(None).cast(counts.schema[c].dataType).alias(c) for c in carry])
     return keys.unionByName(whole)
 
 
@@ -175,8 +175,7 @@ def fit_grouped_encoding(counts: DataFrame, top_n: int = TOP_N, smoothing: float
     merged = counts.join(F.broadcast(top), "key", "left").groupBy(
         F.when(F.col("is_top") == 1, F.col("key")).otherwise(OTHER).alias("key")
     ).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("is_top").alias("is_top"))
-    encoding = fit_target_encoding(merged, smoothing)
-    return encoding.join(F.broadcast(top), "key", "left")
+    return fit_target_encoding(merged, smoothing, "is_top")
 
 
 def add_grouped_encoding(df: DataFrame, column: str, out: str, fitted: DataFrame) -> DataFrame:
@@ -191,15 +190,23 @@ def add_grouped_encoding(df: DataFrame, column: str, out: str, fitted: DataFrame
 
 # -- vehicles -----------------------------------------------------------------------------------------
 
-def fit_labels(train: DataFrame, column: str = "vehicle_type") -> DataFrame:
-    """Position of each label in the sorted list of labels; NULL is the label 'nan'."""
-    labels = checkpointed(train.select(F.coalesce(F.col(column), F.lit("nan")).alias(column)).distinct())
+def label_codes(labels: DataFrame, column: str) -> DataFrame:
+    """Position of each distinct label in sorted order; a list over the broadcast limit is ranked by slices."""
     if fits_broadcast(labels):
         return labels.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("code"))
     ranked = running_totals(labels.withColumn("one", F.lit(1)), column, ["one"])
     return ranked.select(column, F.col("one_before").cast("int").alias("code"))
 
 
+def fit_labels(train: DataFrame, column: str = "vehicle_type") -> DataFrame:
+    """Codes of the training labels; NULL is the label 'nan'."""
+    return label_codes(checkpointed(distinct_labels(train, column)), column)
+
+
+def distinct_labels(train: DataFrame, column: str = "vehicle_type") -> DataFrame:
+    return train.select(F.coalesce(F.col(column), F.lit("nan")).alias(column)).distinct()
+
+
 def add_label_code(df: DataFrame, labels: DataFrame, column: str = "vehicle_type",
                    out: str = "vehicle_type_encoded", broadcast: bool | None = None) -> DataFrame:
     """Code of the label, -1 when it was not seen in training."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fareflow.functions.columns import ratio
+from fareflow.functions.columns import equal_width_bin, minute_of_day, ratio
 from fareflow.operators.counts import group_rate
 from fareflow.scale import totals_of
 
@@ -37,12 +37,6 @@ def daily_rates(df: DataFrame, date: str = "date", target: str = "is_cancelled")
     })
 
 
-def minute_of_day(time: str = "time") -> Column:
-    """Minute 0..1439 of HH:MM:SS text; text that does not parse gives NULL."""
-    ts = F.try_to_timestamp(F.col(time), F.lit("HH:mm:ss"))
-    return F.hour(ts) * 60 + F.minute(ts)
-
-
 def minute_rates(df: DataFrame, time: str = "time", target: str = "is_cancelled") -> DataFrame:
     """Rate per minute of day with its dense position in the series."""
     per = group_rate(df.withColumn("minute_of_day", minute_of_day(time)), ["minute_of_day"], target)
@@ -68,7 +62,6 @@ def missing_days(df: DataFrame, start: str, end: str, date: str = "date") -> Dat
 def histogram(df: DataFrame, column: str, low: float | None, high: float | None, bins: int,
               by: tuple[str, ...] = ()) -> DataFrame:
     """Equal-width histogram with density per group. Edges default to the data range."""
-    from fareflow.functions.columns import equal_width_bin
     if low is None or high is None:
         span = totals_of(df, low=F.min(column), high=F.max(column))
         lo, hi = span["low"].cast("double"), span["high"].cast("double")

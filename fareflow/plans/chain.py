@@ -11,10 +11,9 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareflow.functions.columns import ratio
 from fareflow.operators.counts import temporal_split
 from fareflow.operators.features import (
-    SMOOTHING, TOP_N, add_grouped_encoding, add_temporal, fit_grouped_encoding, fit_labels, vtat_buckets,
+    add_grouped_encoding, add_temporal, distinct_labels, fit_grouped_encoding, label_codes, vtat_buckets,
     weighted_median,
 )
 from fareflow.operators.profile import missing_summary
@@ -47,7 +46,7 @@ def _fit_state(train: DataFrame) -> DataFrame:
     parts = [
         medians.unionByName(overall).select(
             F.lit("vtat_median").alias("artifact"), F.col("vehicle_type").alias("key"), "value", none.alias("is_top")),
-        fit_labels(vehicle).select(
+        label_codes(distinct_labels(vehicle), "vehicle_type").select(
             F.lit("vehicle_code").alias("artifact"), F.col("vehicle_type").alias("key"),
             F.col("code").cast("double").alias("value"), none.alias("is_top")),
     ]

@@ -33,8 +33,8 @@ def _seconds() -> Column:
 
 def _time() -> Column:
     s = _seconds()
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("int"),
-                           F.floor((s % 3600) / 60).cast("int"), (s % 60).cast("int"))
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    return F.concat(two(F.floor(s / 3600)), F.lit(":"), two(F.floor((s % 3600) / 60)), F.lit(":"), two(s % 60))
 
 
 def _score(a: int, b: int, lift: int) -> Column:
@@ -62,7 +62,7 @@ FROM_LINEITEM = {
     "is_cancelled": _cancelled,
     "split": _split,
     "score": lambda: _score(7, 13, 30),
-    "score_b": lambda: _score(11, 17, 20),
+    "score_b": lambda: _score(11, 17, 15),
     "score_c": lambda: _score(3, 29, 10),
     "y": _cancelled,
 }
