@@ -1,8 +1,8 @@
 """Registered queries and their DuckDB reference SQL, by family."""
 
-from fareflow.catalog import associations, evaluations, features, ingest, profiles, reporting
+from fareflow.catalog import associations, evaluations, features, ingest, models, profiles, reporting
 
-FAMILIES = [ingest, profiles, features, associations, evaluations, reporting]
+FAMILIES = [ingest, profiles, features, associations, evaluations, reporting, models]
 
 
 def all_queries() -> dict:

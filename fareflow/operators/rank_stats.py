@@ -88,12 +88,14 @@ def decile_log_odds(df: DataFrame, columns: Sequence[str], target: str = "is_can
 def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str = "is_cancelled",
                               bins: int = 20) -> DataFrame:
     """Plug-in mutual information (nats) of equal-width bins and the target, per feature."""
-    spans = df.agg(F.struct(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
-                              for c in columns]).alias("s")).scalar()
+    # the bin edges are fitted first: two numbers per feature
+    spans = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
+                     for c in columns]).first()
+    ranged = [c for c in columns if spans[c]["lo"] is not None]
     pairs = F.array(*[
         F.struct(F.lit(c).alias("feature"),
                  equal_width_bin(F.col(c).cast("double"), spans[c]["lo"], spans[c]["hi"], bins).alias("bin"))
-        for c in columns])
+        for c in ranged])
     cells = (df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.inline(pairs))
              .where(F.col("bin").isNotNull()).groupBy("feature", "bin", "y").agg(F.count("*").alias("o")))
     # at most bins x classes rows per feature from here on
