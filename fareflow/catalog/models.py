@@ -14,8 +14,8 @@ from fareflow.catalog.sql import BL, q, r
 from fareflow.functions.columns import rounded
 from fareflow.plans import dashboard
 from fareflow.plans import models as m
-from fareflow.plans.chain import silver, train_val
-from fareflow.scale import checkpointed, ensure_checkpoint_dir
+from fareflow.plans.chain import materialised_silver, train_val
+from fareflow.scale import ensure_checkpoint_dir
 from fareflow.schemas import TARGET
 from fareflow.sources.tables import bookings, table
 from fareflow.streaming.jobs import drift_table, windowed_rates
@@ -25,9 +25,9 @@ DIGITS = 4
 
 
 def silver_rows(spark, sf):
-    """Silver features with their identity columns, written once: every fit reads them several times."""
+    """Silver features with their identity columns; rows without a bucket cannot be assembled."""
     features, _ = chain_features(spark, sf)
-    return checkpointed(silver(features.where("vtat_bucket is not null"), *KEY))
+    return materialised_silver(features.where("vtat_bucket is not null"), *KEY)
 
 
 def _train(df):

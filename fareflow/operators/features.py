@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareflow.functions.columns import binned, booking_timestamp, cyclic, flag, ratio, zoned
+from fareflow.functions.columns import binned, booking_timestamp, cyclic, flag, minute_of_day, ratio, zoned
 from fareflow.scale import checkpointed, fits_broadcast, lookup_join, running_totals, totals_of
 
 # Bin edges, labels and hour sets.
@@ -30,10 +30,18 @@ TOP_N, SMOOTHING = 10, 10
 # -- stateless groups ---------------------------------------------------------------------------------
 
 def add_temporal(df: DataFrame, date: str = "date", time: str = "time") -> DataFrame:
-    """Clock, calendar, rush and cyclic features of the booking time."""
-    df = df.withColumn("booking_ts", booking_timestamp(date, time))
-    ts, hour = F.col("booking_ts"), F.col("hour")
-    df = df.withColumns({"hour": F.hour(ts), "dayofweek": F.weekday(ts), "month": F.month(ts), "day": F.day(ts)})
+    """Clock, calendar, rush and cyclic features of the booking time; all NULL when the time is invalid.
+
+    The parts are read from the date and the minute of day, so the timestamp itself is built only when a
+    later step selects it.
+    """
+    df = df.withColumns({"booking_ts": booking_timestamp(date, time), "__minute": minute_of_day(time)})
+    known = F.when(F.col("__minute").isNotNull(), F.col(date))
+    hour_of = F.when(F.col(date).isNotNull(), F.floor(F.col("__minute") / 60).cast("int"))
+    df = df.withColumns({
+        "hour": hour_of, "dayofweek": F.weekday(known), "month": F.month(known), "day": F.day(known),
+    }).drop("__minute")
+    hour = F.col("hour")
     morning, evening = hour.between(7, 10), hour.between(17, 21)
     hour_sin, hour_cos = cyclic("hour", 24)
     dow_sin, dow_cos = cyclic("dayofweek", 7)

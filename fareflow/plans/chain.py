@@ -17,7 +17,7 @@ from fareflow.operators.features import (
     weighted_median,
 )
 from fareflow.operators.profile import missing_summary
-from fareflow.scale import checkpointed, fits_broadcast, lookup_join, totals_of
+from fareflow.scale import checkpointed, fits_broadcast, lookup_join, spread, totals_of
 from fareflow.schemas import FEATURES, LATE_LEAKAGE_COLUMNS, TARGET
 
 STATE_COLUMNS = ["artifact", "key", "value", "is_top"]
@@ -113,6 +113,11 @@ def silver(features: DataFrame, *keep: str) -> DataFrame:
     return features.select(*keep, *FEATURES, TARGET, "split")
 
 
+def materialised_silver(features: DataFrame, *keep: str) -> DataFrame:
+    """Silver rows written once to the checkpoint folder: model fits read them many times."""
+    return spread(checkpointed(silver(features, *keep)))
+
+
 def run_chain(clean: DataFrame, train_end: str = "2024-09-30", val_end: str = "2024-11-30") -> tuple[DataFrame, BookingFeaturesModel]:
     """Split by date, fit on train, transform everything."""
     df = clean.withColumn("split", temporal_split("date", train_end, val_end))

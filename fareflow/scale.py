@@ -41,6 +41,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(saved: DataFrame) -> DataFrame:
+    """Use all cores for a checkpointed table that is read many times; enough partitions are left alone."""
+    wanted = saved.sparkSession.sparkContext.defaultParallelism
+    return checkpointed(saved.repartition(wanted)) if saved.rdd.getNumPartitions() < wanted else saved
+
+
 def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
     """Measure a (materialised) table; at most ``max_rows + 1`` rows are looked at."""
     text = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
