@@ -62,29 +62,23 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def contingency_stats(cells: DataFrame, yates: bool = True) -> DataFrame:
     """Chi-square and Cramer's V per pair from cells (pair, a, b, o).
 
-    Absent cells add their expected count. A 2 x 2 table takes the continuity correction, where every
-    cell deviates from its expectation by the same amount.
+    chi2 = n (sum o^2 / (r c) - 1) needs no expected counts and covers absent cells. A 2 x 2 table takes
+    the continuity correction, where every cell deviates from its expectation by the same amount, so one
+    cell is enough. Levels are counted at the first cell of each row and column.
     """
-    rows = cells.groupBy("pair", "a").agg(F.sum("o").alias("r"))
-    cols = cells.groupBy("pair", "b").agg(F.sum("o").alias("c"))
-    shape = (rows.groupBy("pair").agg(F.count("*").alias("n_a"), F.sum("r").alias("n"))
-             .join(cols.groupBy("pair").agg(F.count("*").alias("n_b")), "pair"))
-    full = cells.join(rows, ["pair", "a"]).join(cols, ["pair", "b"]).join(shape, "pair")
+    rows = cells.groupBy("pair", "a").agg(F.sum("o").alias("r"), F.min("b").alias("first_b"))
+    cols = cells.groupBy("pair", "b").agg(F.sum("o").alias("c"), F.min("a").alias("first_a"))
+    o, r, c = (F.col(x).cast("double") for x in "orc")
+    per = cells.join(rows, ["pair", "a"]).join(cols, ["pair", "b"]).groupBy("pair").agg(
+        F.sum("o").alias("n"), F.sum(o / r * (o / c)).alias("s"),
+        F.count_if(F.col("b") == F.col("first_b")).alias("n_a"), F.count_if(F.col("a") == F.col("first_a")).alias("n_b"),
+        F.max(F.struct(o.alias("o"), r.alias("r"), c.alias("c"))).alias("cell"))
     n = F.col("n").cast("double")
-    e = F.col("r").cast("double") * F.col("c") / n
-    dev = F.col("o") - e
-    per = full.groupBy("pair").agg(
-        F.max("n").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"),
-        F.sum(dev * dev / e).alias("present"), F.sum(e).alias("expected"),
-        F.max(F.abs(dev)).alias("dev"),
-        F.max(F.col("r").cast("double") * (n - F.col("r"))).alias("rr"),
-        F.max(F.col("c").cast("double") * (n - F.col("c"))).alias("cc"),
-    )
-    n = F.col("n").cast("double")
-    plain = F.col("present") + F.greatest(n - F.col("expected"), F.lit(0.0))
-    d = F.greatest(F.col("dev") - 0.5, F.lit(0.0))
-    corrected = ratio(d * d * n * n * n, F.col("rr") * F.col("cc"))
+    o, r, c = F.col("cell.o"), F.col("cell.r"), F.col("cell.c")
+    d = F.greatest(F.abs(o - r * c / n) - 0.5, F.lit(0.0))
+    corrected = ratio(d * d * n * n, r * (n - r)) * ratio(n, c * (n - c))
     dof = (F.col("n_a") - 1) * (F.col("n_b") - 1)
+    plain = n * F.greatest(F.col("s") - 1, F.lit(0.0))
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(yates), corrected).otherwise(plain)
     return per.select("pair", "n", "n_a", "n_b", chi2.alias("chi2"), dof.alias("dof")).withColumn(
         "cramers_v", F.coalesce(F.sqrt(ratio("chi2", n * F.least(F.col("n_a") - 1, F.col("n_b") - 1))), F.lit(0.0)))
@@ -258,14 +252,14 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], complete: bool = Fa
     """
     columns = list(columns)
     if complete:
-        m = co_moments(df, columns)
-        own = m.where(F.col("i") == F.col("j"))
-        side = lambda c: own.select(F.col("i").alias(c), F.col("centred").alias(f"v{c}"))
+        # k * (k + 1) / 2 values in one row
+        cells = co_moments(df, columns).agg(F.collect_list(F.struct("i", "j", "centred")).alias("m"))
+        own = F.map_from_entries(F.transform(F.filter("m", lambda c: c["i"] == c["j"]), lambda c: F.struct(c["i"], c["centred"])))
+        off = cells.select(own.alias("own"), F.inline(F.filter("m", lambda c: c["i"] < c["j"])))
         names = F.array(*[F.lit(c) for c in columns])
-        scale = F.sqrt(F.col("vi") * F.col("vj"))
-        return (m.where(F.col("i") < F.col("j")).join(F.broadcast(side("i")), "i").join(F.broadcast(side("j")), "j")  # k rows
-                .select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
-                        F.try_divide(F.col("centred"), F.nullif(scale, F.lit(0.0))).alias("r")))
+        scale = F.sqrt(F.col("own")[F.col("i")] * F.col("own")[F.col("j")])
+        return off.select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
+                          F.try_divide(F.col("centred"), F.nullif(scale, F.lit(0.0))).alias("r"))
     pairs = list(combinations(range(len(columns)), 2))
     wide = df.agg(*[pearson(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
     rows = F.array(*[F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"),

@@ -130,11 +130,18 @@ def add_vtat(df: DataFrame, medians: DataFrame, by: str = "vehicle_type", vtat:
     return df.drop("median_vtat").withColumns(vtat_buckets(F.col("avg_vtat_imputed")))
 
 
-def add_vtat_global(df: DataFrame, vtat: str = "avg_vtat") -> DataFrame:
-    """Imputation with the overall median of the same rows (used before correlations)."""
+def global_median(df: DataFrame, vtat: str = "avg_vtat") -> float | None:
     counts = df.where(F.col(vtat).isNotNull()).groupBy(vtat).agg(F.count("*").alias("n"))
-    median = totals_of(counts, m=weighted_median(vtat, "n"))["m"]
-    return df.withColumn("avg_vtat_imputed", F.coalesce(F.col(vtat), median))
+    return counts.agg(weighted_median(vtat, "n").alias("m")).first()["m"]
+
+
+def add_vtat_global(df: DataFrame, vtat: str = "avg_vtat") -> DataFrame:
+    """Imputation with the overall median of the same rows (used before correlations).
+
+    The median is one number and is fitted at once: as a nested query it would be planned again in every
+    expression built on the imputed column.
+    """
+    return df.withColumn("avg_vtat_imputed", F.coalesce(F.col(vtat), F.lit(global_median(df, vtat)).cast("double")))
 
 
 # -- locations ----------------------------------------------------------------------------------------

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from fareflow.functions.columns import equal_width_bin, ratio
 from fareflow.functions.pvalues import t_p
 from fareflow.operators.association import pearson
-from fareflow.scale import checkpointed, exact_quantiles, running_totals, totals_of, value_counts_long
+from fareflow.scale import checkpointed, exact_quantiles, running_totals, value_counts_long
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, avg_rank): mean 1-based rank of each distinct value."""
+def centred_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, rank): mean rank of each distinct value, less the overall mean (n + 1) / 2."""
     ranked = running_totals(value_counts_long(df, columns), "value", ["n"], ["feature"])
-    return ranked.select("feature", "value", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank"))
+    mid = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
+    return ranked.select("feature", "value", (mid - (F.col("n_total") + 1) / F.lit(2.0)).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, p_value: bool = False) -> DataFrame:
@@ -29,18 +30,13 @@ def spearman(df: DataFrame, x: str, y: str, p_value: bool = False) -> DataFrame:
     Rows are first counted by (x, y) pair; ranks are joined to the pairs, so equal rows cost one row.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    ranks = average_ranks(rows, ["x", "y"])
+    ranks = centred_ranks(rows, ["x", "y"])
     pick = lambda f: ranks.where(F.col("feature") == f).select(
-        F.col("value").alias(f), F.col("avg_rank").alias(f"r{f}"))
+        F.col("value").alias(f), F.col("rank").alias(f"r{f}"))
     pairs = rows.groupBy("x", "y").agg(F.count("*").alias("n")).join(pick("x"), "x").join(pick("y"), "y")
-    s = pairs.agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("rx")).alias("sx"), F.sum(F.col("n") * F.col("ry")).alias("sy"))
-    mean_x, mean_y = totals_of(s, v=F.max(ratio("sx", "n")))["v"], totals_of(s, v=F.max(ratio("sy", "n")))["v"]
-    dx, dy = F.col("rx") - mean_x, F.col("ry") - mean_y
-    out = pairs.agg(F.sum("n").alias("n"), F.sum(F.col("n") * dx * dy).alias("xy"),
-                    F.sum(F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy")
-                    ).select("n", ratio("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
+    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
+    out = pairs.agg(F.sum("n").alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"),
+                    F.sum(n * ry * ry).alias("yy")).select("n", ratio("xy", F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
     if not p_value:
         return out
     t = F.col("rho") * F.sqrt(ratio(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))

@@ -83,7 +83,7 @@ def split_hot_keys(rows: DataFrame, keys: Sequence[str], wanted: Column, how: st
     """
     keys = list(keys)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    total = totals_of(rows, n=F.count("*"))["n"]
+    total = totals_of(counts, n=F.sum("n_rows"))["n"]
     hot_limit = F.greatest(total * F.lit(hot_share), F.lit(2.0))
     renamed = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "n_rows")
     hot = renamed.where(F.col("n_rows") >= hot_limit)
