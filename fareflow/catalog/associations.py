@@ -54,6 +54,11 @@ def assoc_binary(spark, sf):
     return _r(a.binary_vs_binary(df, FLAGS), "odds_ratio", "ci_low", "ci_high", "phi")
 
 
+def assoc_missing_target(spark, sf):
+    df = ft.add_vtat_missing(bookings(spark, sf, "avg_vtat", "is_cancelled"))
+    return _r(a.binary_vs_binary(df, ["vtat_missing"]), "odds_ratio", "ci_low", "ci_high", "phi")
+
+
 def assoc_binary_fisher(spark, sf):
     df = ft.add_hour_flags(timed_events(spark, sf).withColumn("hour", F.hour("ts")))
     return a.binary_vs_binary(df, ["is_night", "is_business", "is_rush"], p_value=True)
@@ -271,6 +276,13 @@ QUERIES = {
                {r("(a * d - b * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d))")} as phi
         from ({_binary("is_instant_arrival", "avg_vtat <= 2.9")} union all {_binary("is_timeout", "avg_vtat > 15")}
               union all {_binary("is_long_wait", "avg_vtat > 11.9")})""", BL)),
+    "assoc_missing_target": (assoc_missing_target, f"""
+        with c as (select sum((m and y)::int)::bigint as a, sum((m and not y)::int)::bigint as b, sum((y and not m)::int)::bigint as c,
+                   sum((not m and not y)::int)::bigint as d from (select l_discount = 0 as m, l_returnflag = 'R' as y from lineitem))
+        select 'vtat_missing' as feature, a, b, c, d, {r("(a / b) / (c / d)")} as odds_ratio,
+               {r("exp(ln((a / b) / (c / d)) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_low,
+               {r("exp(ln((a / b) / (c / d)) + 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_high,
+               {r("(a::double * d - b::double * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d))")} as phi from c"""),
     "assoc_binary_fisher": (assoc_binary_fisher, None),
     "assoc_continuous": (assoc_continuous, q(f"""
         , z as (select count(*) filter (where is_cancelled = 0) as n0, count(*) filter (where is_cancelled = 1) as n1,

@@ -17,6 +17,11 @@ def ingest_clean(spark, sf):
     return cleaning.clean(raw_bookings(spark, sf), STATUS_MAP)
 
 
+def ingest_handoff(spark, sf):
+    rows = cleaning.handoff(cleaning.clean(raw_bookings(spark, sf), STATUS_MAP))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).where("n > 1 or avg_vtat is null")
+
+
 def ingest_status_target(spark, sf):
     df = bookings(spark, sf, "status").withColumn("target", cleaning.status_target("status", {"R": 1, "A": 0}))
     return counts.value_shares(df, "target", keep_null=True).select("target", "n", rounded("share").alias("share"))
@@ -151,6 +156,9 @@ QUERIES = {
                case when status <> 'R' then l_extendedprice end as booking_value,
                case when status <> 'R' then l_quantity end as ride_distance,
                case when status <> 'R' then l_linestatus end as payment_method, is_cancelled from bk""", BK)),
+    "ingest_handoff": (ingest_handoff, q(f"""
+        select date, {TIME_TEXT} as time, vehicle_type, pickup_location, drop_location, avg_vtat, is_cancelled, count(*) as n
+        from bk group by all having count(*) > 1 or avg_vtat is null""", BK)),
     "ingest_status_target": (ingest_status_target, f"""
         select t as target, count(*) as n, {r("count(*) / sum(count(*)) over ()")} as share
         from (select case l_returnflag when 'R' then 1 when 'A' then 0 end as t from lineitem) group by t"""),

@@ -22,6 +22,15 @@ def profile_columns(spark, sf):
                     rounded("std", 4).alias("std"), rounded("skew", 4).alias("skew"), rounded("kurtosis", 4).alias("kurtosis"))
 
 
+def profile_full(spark, sf):
+    df = bookings(spark, sf, "vehicle_type", "avg_vtat", "ride_distance", "is_cancelled")
+    out = profile.full_profile(df)
+    exact = ["n_distinct", "n_null", "n_rows", "n"]
+    near = ["distinct_ratio", "min", "max", "q25", "median", "q75"]
+    return out.select("column", "cardinality", *exact, *[rounded(c).alias(c) for c in near],
+                      *[rounded(c, 4).alias(c) for c in ("mean", "std", "skew", "kurtosis")])
+
+
 def profile_quartiles(spark, sf):
     cols = ["l_quantity", "l_extendedprice", "l_tax"]
     out = profile.quartiles(table(spark, sf, "lineitem").select(*cols), cols)
@@ -101,11 +110,23 @@ def _distinct_sql(c: str) -> str:
         from bk"""
 
 
+def _full_sql(c: str, number: bool) -> str:
+    num = lambda f, d=6: r(f, d) if number else "null::double"
+    return f"""select '{c}' as "column", case when (count(distinct {c}) + (count(*) > count({c}))::int) / count(*) <= 0.5 then 'category' else 'text' end as cardinality,
+      count(distinct {c}) as n_distinct, count(*) - count({c}) as n_null, count(*) as n_rows, {f"count({c})" if number else "null::bigint"} as n,
+      {r(f"(count(distinct {c}) + (count(*) > count({c}))::int) / count(*)")} as distinct_ratio, {num(f"min({c})")} as min, {num(f"max({c})")} as max,
+      {num(f"quantile_cont({c}, 0.25)")} as q25, {num(f"median({c})")} as median, {num(f"quantile_cont({c}, 0.75)")} as q75,
+      {num(f"avg({c})", 4)} as mean, {num(f"stddev_samp({c})", 4)} as std, {num(f"skewness({c})", 4)} as skew, {num(f"kurtosis({c})", 4)} as kurtosis from fl"""
+
+
 MISSING = "select 'COL' as \"column\", count(*) filter (where EXPR) as n_missing, count(*) as n from lineitem"
 GLOBAL_MEDIAN = "gv as (select median(avg_vtat) as m from bk)"
 
 QUERIES = {
     "profile_columns": (profile_columns, " union all ".join(_stat_sql(c) for c in NUMBERS)),
+    "profile_full": (profile_full, q(
+        " union all ".join(_full_sql(c, c != "vehicle_type") for c in ("vehicle_type", "avg_vtat", "ride_distance", "is_cancelled")),
+        BK, "fl as (select vehicle_type, avg_vtat, case when status <> 'R' then l_quantity end as ride_distance, is_cancelled from bk)")),
     "profile_quartiles": (profile_quartiles, " union all ".join(
         f"""select '{c}' as "column", {r(f"quantile_cont({c}, 0.25)")} as q25, {r(f"median({c})")} as median,
         {r(f"quantile_cont({c}, 0.75)")} as q75 from lineitem""" for c in ("l_quantity", "l_extendedprice", "l_tax"))),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareflow.functions.columns import ratio
-from fareflow.schemas import CLEAN_BOOKINGS, LEAKAGE_COLUMNS, STATUS_TARGET, check_contract
+from fareflow.schemas import CLEAN_BOOKINGS, LATE_LEAKAGE_COLUMNS, LEAKAGE_COLUMNS, STATUS_TARGET, check_contract
 from fareflow.sources.files import nan_to_null
 
 
@@ -61,6 +61,11 @@ def clean(raw: DataFrame, mapping: Mapping[str, int] = STATUS_TARGET) -> DataFra
     return check_contract(recast(df), CLEAN_BOOKINGS)
 
 
+def handoff(clean_rows: DataFrame, ids: Sequence[str] = ("booking_id", "customer_id")) -> DataFrame:
+    """Clean rows without ids and late leakage columns, as the association steps take them."""
+    return drop_columns(clean_rows, [*ids, *LATE_LEAKAGE_COLUMNS])
+
+
 def status_share(df: DataFrame, status: str, counted: Sequence[str]) -> DataFrame:
     """Rows whose status is in ``counted``: number and rounded percentage."""
     hits = F.count_if(F.col(status).isin(*counted))

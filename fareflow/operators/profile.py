@@ -94,6 +94,17 @@ def nulls_by_target(df: DataFrame, column: str, target: str = "is_cancelled") ->
     ).withColumn("pct_null", ratio("n_null", "n_rows") * 100)
 
 
+def full_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """One row per column: type, nulls, distinct values and, for numbers, moments and quartiles."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    numeric = _numeric(df)
+    kinds = F.create_map(*[F.lit(v) for kv in types.items() for v in kv])
+    out = distinct_profile(df, list(types), approximate).withColumn("type", F.element_at(kinds, F.col("column")))
+    # the joined tables have one row per column
+    out = out.join(F.broadcast(column_stats(df, numeric)), "column", "left")
+    return out.join(F.broadcast(quartiles(df.select(*numeric), numeric)), "column", "left")
+
+
 def outlier_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Interquartile-range fences and the rows outside them, all derived from distinct-value counts."""
     counts = value_counts_long(df, [column])
