@@ -46,7 +46,7 @@ def assoc_nominal_stats(spark, sf):
 
 def assoc_nominal_pvalues(spark, sf):
     df = ft.add_calendar(bookings(spark, sf, "date", "is_cancelled"))
-    return a.nominal_stats(df, "weekday", p_value=True)
+    return _r(a.nominal_stats(df, "weekday", p_value=True), "chi2", "cramers_v", "p_value")
 
 
 def assoc_binary(spark, sf):
@@ -61,7 +61,8 @@ def assoc_missing_target(spark, sf):
 
 def assoc_binary_fisher(spark, sf):
     df = ft.add_hour_flags(timed_events(spark, sf).withColumn("hour", F.hour("ts")))
-    return a.binary_vs_binary(df, ["is_night", "is_business", "is_rush"], p_value=True)
+    out = a.binary_vs_binary(df, ["is_night", "is_business", "is_rush"], p_value=True)
+    return _r(out, "odds_ratio", "ci_low", "ci_high", "phi", "p_value")
 
 
 def assoc_continuous(spark, sf):
@@ -222,6 +223,19 @@ def _binary(name: str, cond: str) -> str:
       count(*) filter (where not ({cond}) and is_cancelled = 0) as d from bk where avg_vtat is not null"""
 
 
+def _hour_flag(name: str, hours: str) -> str:
+    cell = lambda inside, y: f"count(*) filter (where h {inside} ({hours}) and is_cancelled = {y})"
+    return f"""select '{name}' as feature, {cell("in", 1)} as a, {cell("in", 0)} as b, {cell("not in", 1)} as c,
+      {cell("not in", 0)} as d from ev"""
+
+
+def _log_pmf(k: str) -> str:
+    """Hypergeometric log probability of k in a table with the margins of (a, b, c, d)."""
+    lf = lambda x: f"lgamma(({x})::double + 1)"
+    choose = lambda n, x: f"({lf(n)} - {lf(x)} - {lf(f'({n}) - ({x})')})"
+    return f"({choose('a + b', k)} + {choose('c + d', f'a + c - {k}')} - {choose('a + b + c + d', 'a + c')})"
+
+
 def _corr(x: str, y: str) -> str:
     return f"select '{x}' as feature_a, '{y}' as feature_b, {r(f'corr({x}, {y})')} as r from nf"
 
@@ -254,6 +268,7 @@ SPREAD_SQL = {"pickup_location": "pickup_location", "weekday": "isodow(date)", "
               "is_business": f"{HOUR} between 9 and 17", "is_rush": f"{HOUR} in (7,8,9,17,18,19)", "hour": HOUR}
 ZN = ("zn as (select vehicle_type, is_cancelled, case when avg_vtat <= 2.9 then 'instant' when avg_vtat <= 5 then 'short' "
       "when avg_vtat <= 11.9 then 'normal' when avg_vtat <= 15 then 'dip' when avg_vtat <= 20 then 'timeout' end as vtat_zone from bk)")
+HOUR_FLAGS = {"is_night": "22,23,0,1,2,3,4,5", "is_business": "9,10,11,12,13,14,15,16,17", "is_rush": "7,8,9,17,18,19"}
 DAYS = "d as (select date, sum(is_cancelled) / count(*) as v, count(*) as t from bk group by date)"
 
 QUERIES = {
@@ -268,7 +283,10 @@ QUERIES = {
     "assoc_nominal_stats": (assoc_nominal_stats, q(f"""
         select feature, n::bigint as n, {r("chi2")} as chi2, dof, {r("sqrt(chi2 / n)")} as cramers_v
         from ({_plain_chi2("weekday")} union all {_plain_chi2("month")})""", BL)),
-    "assoc_nominal_pvalues": (assoc_nominal_pvalues, None),
+    # six degrees of freedom have a closed tail
+    "assoc_nominal_pvalues": (assoc_nominal_pvalues, q(f"""
+        select feature, n::bigint as n, {r("chi2")} as chi2, dof, {r("sqrt(chi2 / n)")} as cramers_v,
+               {r("exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 * chi2 / 8)")} as p_value from ({_plain_chi2("weekday")})""", BL)),
     "assoc_binary": (assoc_binary, q(f"""
         select feature, a, b, c, d, {r("a * d / (b * c)")} as odds_ratio,
                {r("a * d / (b * c) * exp(-1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_low,
@@ -283,7 +301,16 @@ QUERIES = {
                {r("exp(ln((a / b) / (c / d)) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_low,
                {r("exp(ln((a / b) / (c / d)) + 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_high,
                {r("(a::double * d - b::double * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d))")} as phi from c"""),
-    "assoc_binary_fisher": (assoc_binary_fisher, None),
+    "assoc_binary_fisher": (assoc_binary_fisher, q(f"""
+        , t as ({" union all ".join(_hour_flag(n, h) for n, h in HOUR_FLAGS.items())}),
+        pr as (select feature, a, k, {_log_pmf("k")} as lp, {_log_pmf("a")} as lo from (
+          select *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) as k from t)),
+        f as (select feature, sum(exp(lp)) filter (where lp <= lo + 1e-7) as p from pr group by 1)
+        select feature, a, b, c, d, {r("a * d / (b * c)")} as odds_ratio,
+               {r("a * d / (b * c) * exp(-1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_low,
+               {r("a * d / (b * c) * exp(1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))")} as ci_high,
+               {r("(a * d - b * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d))")} as phi,
+               {r("p")} as p_value from t join f using (feature)""", EV)),
     "assoc_continuous": (assoc_continuous, q(f"""
         , z as (select count(*) filter (where is_cancelled = 0) as n0, count(*) filter (where is_cancelled = 1) as n1,
           avg(avg_vtat) filter (where is_cancelled = 0) as m0, avg(avg_vtat) filter (where is_cancelled = 1) as m1,

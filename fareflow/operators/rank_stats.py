@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fareflow.functions.columns import equal_width_bin, ratio
 from fareflow.functions.pvalues import t_p
 from fareflow.operators.association import pearson
-from fareflow.scale import checkpointed, exact_quantiles, running_totals, value_counts_long
+from fareflow.scale import checkpointed, exact_quantiles, lookup_join, running_totals, value_counts_long
 
 
 def centred_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -33,7 +33,9 @@ def spearman(df: DataFrame, x: str, y: str, p_value: bool = False) -> DataFrame:
     ranks = centred_ranks(rows, ["x", "y"])
     pick = lambda f: ranks.where(F.col("feature") == f).select(
         F.col("value").alias(f), F.col("rank").alias(f"r{f}"))
-    pairs = rows.groupBy("x", "y").agg(F.count("*").alias("n")).join(pick("x"), "x").join(pick("y"), "y")
+    # a column of few values (a 0/1 target) is broadcast, not hashed to as many tasks as it has values
+    pairs = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
+    pairs = lookup_join(lookup_join(pairs, pick("x"), "x", "inner"), pick("y"), "y", "inner")
     n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
     out = pairs.agg(F.sum("n").alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"),
                     F.sum(n * ry * ry).alias("yy")).select("n", ratio("xy", F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
