@@ -134,7 +134,7 @@ def assoc_spearman_minutes(spark, sf):
 
 
 def assoc_vif(spark, sf):
-    return a.variance_inflation(numeric_frame(spark, sf), NUMERIC)
+    return _r(a.variance_inflation(numeric_frame(spark, sf), NUMERIC), "vif", digits=4)
 
 
 def assoc_vif_pair(spark, sf):
@@ -148,7 +148,12 @@ def assoc_mi_binned(spark, sf):
 
 
 def assoc_mi_knn(spark, sf):
-    return rank_stats.knn_mutual_information(numeric_frame(spark, sf), NUMERIC)
+    return _r(rank_stats.knn_mutual_information(numeric_frame(spark, sf), NUMERIC), "mutual_information")
+
+
+def assoc_mi_knn_value(spark, sf):
+    mi = rank_stats.knn_mutual_information(timed_events(spark, sf), ["value"])
+    return _r(mi, "mutual_information")
 
 
 def assoc_missing_spread(spark, sf):
@@ -252,6 +257,41 @@ def _mi(f: str) -> str:
         from nf cross join (select min({f}) as lo, max({f}) as hi, count(*) as n from nf) group by 1, 2))"""
 
 
+def _inverse(columns: list[str]) -> str:
+    """Gauss-Jordan elimination of [G | I], one column per step of a recursive table."""
+    k = len(columns)
+    rows = ", ".join("[" + ", ".join([f"sum({x}::double * {y})" for y in columns]
+                                     + [f"{int(i == j)}::double" for j in range(k)]) + "]" for i, x in enumerate(columns))
+    return f"""g as (select [{rows}] as m from nf),
+      steps as (select 1 as k, m from g union all
+        select k + 1, list_transform(m, lambda w, i: case when i = k then list_transform(w, lambda x: x / w[k])
+                      else list_transform(w, lambda x, j: x - w[k] * (m[k][j] / m[k][k])) end) from steps where k <= {k}),
+      inv as (select unnest(range(1, {k + 1})) as i, m from steps where k = {k + 1}),
+      v as (select i, (select m from g)[i][i] * m[i][i + {k}] as vif from inv)"""
+
+
+def _psi(x: str) -> str:
+    """Digamma by recurrence to x + 6 and the asymptotic series."""
+    z = f"({x} + 6)::double"
+    back = " + ".join(f"1 / ({x} + {i})::double" for i in range(6))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ^ 2) + 1 / (120 * {z} ^ 4) - 1 / (252 * {z} ^ 6) - ({back}))"
+
+
+def _knn(src: str, features: list[str]) -> str:
+    """Nearest-neighbour information by comparing all pairs of distinct values."""
+    cnt = " union all ".join(
+        f"select '{f}' as feature, is_cancelled as y, {f}::double as v, count(*) as n from {src} group by 2, 3" for f in features)
+    return f""", cnt as ({cnt}), nc as (select feature, y, sum(n) as c from cnt group by 1, 2), nn as (select feature, sum(n) as t from cnt group by 1),
+      near as (select a.feature, a.y, a.v, a.n, abs(b.v - a.v) as dist, sum(case when b.v = a.v then b.n - 1 else b.n end)
+               over (partition by a.feature, a.y, a.v order by abs(b.v - a.v)) as cum from cnt a join cnt b on a.feature = b.feature and a.y = b.y),
+      rad as (select feature, y, v, any_value(n) as n, min(dist) filter (where cum >= 5) as rd from near group by 1, 2, 3),
+      al as (select rad.feature, rad.y, rad.v, any_value(rad.n) as n, any_value(rd) as rd, sum(p.n) as m from rad join cnt p
+             on p.feature = rad.feature and case when rd = 0 then p.v = rad.v else abs(p.v - rad.v) < rd - 1e-9 * greatest(abs(rad.v), rd) end
+             group by 1, 2, 3)
+      select feature, {r(f"greatest(0, {_psi('any_value(t)')} + sum(n * ({_psi('(case when rd = 0 then n else 5 end)')} - {_psi('c')} - {_psi('m')})) / any_value(t))")}
+             as mutual_information from al join nc using (feature, y) join nn using (feature) group by feature"""
+
+
 def _logodds(f: str) -> str:
     cuts = f"(select quantile_cont({f}::double, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) as q from nf)"
     return f"""select '{f}' as feature, b as bin, count(*) as n, avg(is_cancelled) as p from (
@@ -366,7 +406,10 @@ QUERIES = {
         , m as (select h * 60 + mi as k, sum(is_cancelled) / count(*) as v from ev group by 1)
         select count(*) as n, {r("corr(x, y)")} as rho from (select rank() over (order by k) as x, {_mean_rank("v")} as y from m)""",
         EV)),
-    "assoc_vif": (assoc_vif, None),
+    "assoc_vif": (assoc_vif, q(f"""
+        select ({NUMERIC})[i] as feature, {r("vif", 4)} as vif,
+               case when vif > 5 then 'HIGH' when vif > 2 then 'MODERATE' else 'OK' end as level from v""",
+        BL, NF, _inverse(NUMERIC)).replace("with ", "with recursive ", 1)),
     "assoc_vif_pair": (assoc_vif_pair, q(f"""
         , g as (select sum(avg_vtat * avg_vtat) as a, sum(avg_vtat * is_cancelled) as b, sum(is_cancelled)::double as c
                 from bk where avg_vtat is not null)
@@ -376,7 +419,8 @@ QUERIES = {
     "assoc_mi_binned": (assoc_mi_binned, q(
         f"select feature, {r('m', 7)} as mutual_information from ("
         + " union all ".join(_mi(f) for f in ("avg_vtat_imputed", "hour", "month", "is_weekend")) + ")", BL, NF)),
-    "assoc_mi_knn": (assoc_mi_knn, None),
+    "assoc_mi_knn": (assoc_mi_knn, q(_knn("nf", NUMERIC), BL, NF)),
+    "assoc_mi_knn_value": (assoc_mi_knn_value, q(_knn("ev", ["value"]), EV)),
     "assoc_missing_spread": (assoc_missing_spread, q(
         " union all ".join(_spread(n, SPREAD_SQL[n]) for n in SPREAD), BL)),
     "assoc_logodds": (assoc_logodds, q(
