@@ -286,7 +286,7 @@ def _knn(src: str, features: list[str]) -> str:
                over (partition by a.feature, a.y, a.v order by abs(b.v - a.v)) as cum from cnt a join cnt b on a.feature = b.feature and a.y = b.y),
       rad as (select feature, y, v, any_value(n) as n, min(dist) filter (where cum >= 5) as rd from near group by 1, 2, 3),
       al as (select rad.feature, rad.y, rad.v, any_value(rad.n) as n, any_value(rd) as rd, sum(p.n) as m from rad join cnt p
-             on p.feature = rad.feature and case when rd = 0 then p.v = rad.v else abs(p.v - rad.v) < rd - 1e-9 * greatest(abs(rad.v), rd) end
+             on p.feature = rad.feature and (p.v = rad.v or abs(p.v - rad.v) < rd - greatest(1e-9 * rd, 4.5e-16 * abs(rad.v)))
              group by 1, 2, 3)
       select feature, {r(f"greatest(0, {_psi('any_value(t)')} + sum(n * ({_psi('(case when rd = 0 then n else 5 end)')} - {_psi('c')} - {_psi('m')})) / any_value(t))")}
              as mutual_information from al join nc using (feature, y) join nn using (feature) group by feature"""

@@ -175,20 +175,24 @@ def knn_mutual_information(df: DataFrame, columns: Sequence[str], target: str =
         F.struct((acc["seen"] + s["n"]).alias("seen"), s["d"].alias("d"))))
     radii = near.select("feature", "y", "value", "n", "n_class", k_row.alias("k"),
                         F.when(missing <= 0, F.lit(0.0)).otherwise(reach["d"]).alias("radius"))
-    radii = checkpointed(radii)
-    # open interval around the value; a closed point when the radius is zero
-    slack = F.greatest(F.abs("value"), F.col("radius"), F.lit(1e-300)) * 1e-9
-    reach_in = F.when(F.col("radius") > 0, F.col("radius") - slack).otherwise(slack)
-    ends = F.array(F.struct(F.lit(-1).alias("side"), (F.col("value") - reach_in).alias("pos")),
-                   F.struct(F.lit(1).alias("side"), (F.col("value") + reach_in).alias("pos")))
-    queries = radii.select("feature", "y", "value", F.inline(ends)).withColumn("w", F.lit(0).cast("bigint"))
+    # at most one row per class in each window
+    radii = checkpointed(radii.withColumn("n_all", F.sum("n").over(Window.partitionBy("feature", "value"))))
+    # points strictly inside the radius; the margin covers the rounding of value +- radius, and a radius
+    # of a few last digits (or zero) holds the copies of the value only
+    rounding = F.abs("value") * 4.5e-16
+    exact = F.col("radius") <= rounding * 8
+    inner = F.col("radius") - F.greatest(F.col("radius") * 1e-9, rounding)
+    ends = F.array(F.struct(F.lit(-1).alias("side"), (F.col("value") - inner).alias("pos")),
+                   F.struct(F.lit(1).alias("side"), (F.col("value") + inner).alias("pos")))
+    queries = radii.where(~exact).select("feature", "y", "value", F.inline(ends)).withColumn("w", F.lit(0).cast("bigint"))
     points = used.groupBy("feature", F.col("value").alias("pos")).agg(F.sum("n").alias("w")).select(
         "feature", F.lit(None).cast(counts.schema["y"].dataType).alias("y"), F.lit(None).cast("double").alias("value"),
         F.lit(0).alias("side"), "pos", "w")
     ranked = running_totals(points.unionByName(queries), "pos", ["w"], ["feature"]).where(F.col("side") != 0)
     inside = ranked.groupBy("feature", "y", "value").agg(F.sum(F.col("side") * F.col("w_before")).alias("m"))
-    joined = radii.join(inside, ["feature", "y", "value"])
-    copies = (F.col("radius") == 0)
+    joined = radii.join(inside, ["feature", "y", "value"], "left").withColumn(
+        "m", F.when(exact, F.col("n_all")).otherwise(F.col("m")))
+    copies = F.col("radius") == 0
     weight = F.col("n").cast("double")
     per = joined.groupBy("feature").agg(
         F.sum("n").alias("total"),
