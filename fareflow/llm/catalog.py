@@ -47,8 +47,8 @@ one as (select words, min(doc_id) rep from w where len(words) > 0 group by words
 s as (select distinct rep, array_to_string(words[i:i + 4], ' ') k from (
   select rep, words, unnest(range(1, greatest(len(words) - 3, 1))) i from one)),
 n as (select rep, count(*) n from s group by rep),
-pair as (select a.rep a, b.rep b, count(*) both from s a join s b on a.k = b.k and a.rep < b.rep group by 1, 2),
-near as (select a, b from pair join n x on x.rep = a join n y on y.rep = b where both >= 0.8 * (x.n + y.n - both)),
+pair as (select a.rep a, b.rep b, count(*) shared from s a join s b on a.k = b.k and a.rep < b.rep group by 1, 2),
+near as (select a, b from pair join n x on x.rep = a join n y on y.rep = b where shared >= 0.8 * (x.n + y.n - shared)),
 link as (select a, b from near union all select b, a from near),
 reach(a, b) as (select rep, rep from one union select r.a, l.b from reach r join link l on r.b = l.a),
 class as (select a rep, min(b) class_id from reach group by a)

@@ -235,6 +235,7 @@ def confirmed_windows(packed: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) with ``windows``: packed places of confirmed windows, null where there are none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # both joins below read texts by id from one exchange: the same rows and columns, so that Spark reuses it
     named = rows.where(F.col("doc_id").isNotNull())
     words = rows.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     buckets = max(8, int(words // BUCKET))
@@ -243,7 +244,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     with_hits = named.join(hits, "doc_id").select("doc_id", "text", "hits")
     found = (confirmed_windows(candidate_windows(with_hits, buckets)).groupBy("doc_id")
              .agg(F.collect_list("places").alias("windows")))
-    return rows.join(found, "doc_id", "left").select("doc_id", "text", "windows")
+    unnamed = rows.where(F.col("doc_id").isNull()).withColumn("windows", F.lit(None).cast("array<binary>"))
+    return named.join(found, "doc_id", "left").select("doc_id", "text", "windows").unionByName(unnamed)
 
 
 def removed(docs: DataFrame) -> DataFrame:
