@@ -13,13 +13,13 @@ from fareflow.llm.sharding import op10_sharding
 from fareflow.llm.substring import op2_substring_dedup
 from fareflow.llm.toxicity import op3_toxicity
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = """
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> x::double) e from embeddings),
+  select vec_id, embedding::double[] e from embeddings),
 n as (select vec_id, e, sqrt(list_dot_product(e, e)) l from v
-  where len(e) > 0 and len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0),
+  where len(e) > 0 and list_count(e) = len(e) and isfinite(list_dot_product(e, e))),
 link as (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   and a.l > 0 and b.l > 0 and list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.95),
 reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join link l on r.b = l.a),

@@ -234,8 +234,9 @@ def confirmed_windows(packed: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) with ``windows``: packed places of confirmed windows, null where there are none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # both joins below read texts by id from one exchange: the same rows and columns, so that Spark reuses it
+    # both joins below read texts by id from one exchange: plain columns (a cast would rename one side) let Spark reuse it
+    kinds = dict(docs.dtypes)
+    rows = docs.select(*[F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))])
     named = rows.where(F.col("doc_id").isNotNull())
     words = rows.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     buckets = max(8, int(words // BUCKET))
