@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareflow.llm.common import table, word_count
-from fareflow.llm.textnum import Words, blocks, planes, unplanes, whole, windows
+from fareflow.llm.textnum import Words, blocks, mixed, planes, unplanes, whole, windows
 
 BLOCK_WORDS = 7
 WINDOW = 13
@@ -145,8 +146,11 @@ def candidate_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(rows, _PACKED)
 
 
+_RUNS = "doc_id bigint, start bigint, n bigint"
+
+
 def hit_places(packed: DataFrame) -> DataFrame:
-    """(doc_id, places): blocks that hit or are hit, packed by document and bucket."""
+    """(doc_id, start, n): runs of blocks that hit or are hit."""
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         told = frame["bucket"].iloc[0] < 0
         ids, places, hashes = unpacked(frame, 0 if told else 3)
@@ -154,27 +158,32 @@ def hit_places(packed: DataFrame) -> DataFrame:
             hit, asked, _ = settle(hashes, ids, places)
             chosen = hit | asked
             ids, places = ids[chosen], places[chosen]
-        return by_document(ids, places)
+        return runs(ids, places)
 
-    return packed.groupBy("bucket").applyInPandas(find, "doc_id bigint, places binary")
+    return packed.groupBy("bucket").applyInPandas(find, _RUNS)
 
 
-def by_document(ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
-    if not len(ids):
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "places": []})
+def runs(ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    """Consecutive places of a document as one row."""
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
-    at = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
-    step = np.diff(places, prepend=0)
-    step[at] = places[at]
-    ends = np.append(at[1:], len(ids))
-    return pd.DataFrame({"doc_id": ids[at].astype(np.int64),
-                         "places": [planes(step[a:b], 4) for a, b in zip(at, ends, strict=True)]})
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    ends = np.append(at[1:], len(ids))[: len(at)]
+    last = places[ends - 1] if len(at) else places[:0]
+    return pd.DataFrame({"doc_id": ids[at].astype(np.int64), "start": places[at], "n": last - places[at] + 1})
+
 
+def runs_by_document(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias(name))
 
-def places_of(packed: list[bytes] | None) -> np.ndarray:
-    parts = [np.cumsum(unplanes(p, 4).astype(np.int64)) for p in packed or []]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+def row_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and number of all runs of a batch."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    flat = column.flatten()
+    return (np.repeat(np.arange(len(sizes)), sizes), np.asarray(flat.field("start"), np.int64), np.asarray(flat.field("n"), np.int64))
 
 
 def candidate_windows(with_hits: DataFrame, buckets: int) -> DataFrame:
@@ -186,17 +195,19 @@ def candidate_windows(with_hits: DataFrame, buckets: int) -> DataFrame:
             hashes = words.hashes()
             n = max(0, len(hashes) - WINDOW + 1)
             wanted = np.zeros(len(hashes) + WINDOW, np.int64)
-            for i, packed in enumerate(block.column("hits").to_pylist()):
-                p = places_of(packed) + words.first[i]
-                p = p[p < words.first[i + 1]]
-                np.add.at(wanted, np.maximum(p - (WINDOW - BLOCK_WORDS), words.first[i]), 1)
-                np.add.at(wanted, p + 1, -1)
+            row, at, many = row_runs(block.column("hits"))
+            inside = at + many <= words.count[row]
+            row, at, many = row[inside], at[inside] + words.first[row[inside]], many[inside]
+            np.add.at(wanted, np.maximum(at - (WINDOW - BLOCK_WORDS), words.first[row]), 1)
+            np.add.at(wanted, at + many, -1)
             inside = (np.cumsum(wanted)[:n] > 0) & whole(words.doc, WINDOW)
             start = np.flatnonzero(inside)
             if not len(start):
                 continue
             h = windows(hashes, WINDOW)[start]
-            other = windows(hashes, WINDOW, 1)[start]
+            # windows go by the least of their blocks, which neighbours share: their places stay together in a bucket
+            block_hash = windows(hashes, BLOCK_WORDS, 1)
+            other = mixed(np.minimum.reduce([block_hash[start + k] for k in range(WINDOW - BLOCK_WORDS + 1)]))
             doc = words.doc[start]
             own, place = ids[doc], start - words.first[doc]
             order, group = ranges_of(h)
@@ -217,8 +228,8 @@ def candidate_windows(with_hits: DataFrame, buckets: int) -> DataFrame:
 
 
 def confirmed_windows(packed: DataFrame) -> DataFrame:
-    """(doc_id, places): windows whose words also start in a document with a smaller id."""
-    def find(frame: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, start, n): runs of windows whose words also start in a document with a smaller id."""
+    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
         told = frame["bucket"].iloc[0] < 0
         ids, places, hashes = unpacked(frame, 0 if told else 8)
         if not told:
@@ -227,25 +238,23 @@ def confirmed_windows(packed: DataFrame) -> DataFrame:
             np.minimum.at(least, group, ids[order])
             chosen = order[ids[order] > least[group]]
             ids, places = ids[chosen], places[chosen]
-        return by_document(ids, places)
+        return runs(ids, places)
 
-    return packed.groupBy("bucket").applyInPandas(find, "doc_id bigint, places binary")
+    return packed.groupBy("bucket").applyInPandas(confirm, _RUNS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) with ``windows``: packed places of confirmed windows, null where there are none."""
+    """Documents (doc_id, text) with ``windows``: runs of confirmed windows, null where there are none."""
     # both joins below read texts by id from one exchange: plain columns (a cast would rename one side) let Spark reuse it
     kinds = dict(docs.dtypes)
     rows = docs.select(*[F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))])
     named = rows.where(F.col("doc_id").isNotNull())
     words = rows.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     buckets = max(8, int(words // BUCKET))
-    hits = (hit_places(candidate_blocks(named, buckets)).groupBy("doc_id")
-            .agg(F.collect_list("places").alias("hits")))
+    hits = runs_by_document(hit_places(candidate_blocks(named, buckets)), "hits")
     with_hits = named.join(hits, "doc_id").select("doc_id", "text", "hits")
-    found = (confirmed_windows(candidate_windows(with_hits, buckets)).groupBy("doc_id")
-             .agg(F.collect_list("places").alias("windows")))
-    unnamed = rows.where(F.col("doc_id").isNull()).withColumn("windows", F.lit(None).cast("array<binary>"))
+    found = runs_by_document(confirmed_windows(candidate_windows(with_hits, buckets)), "windows")
+    unnamed = rows.where(F.col("doc_id").isNull()).withColumn("windows", F.lit(None).cast("array<struct<start: bigint, n: bigint>>"))
     return named.join(found, "doc_id", "left").select("doc_id", "text", "windows").unionByName(unnamed)
 
 
@@ -254,23 +263,26 @@ def removed(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = Words(block.column("text"))
-            found = block.column("windows").to_pylist()
-            n, lost, kept, spans = [], [], [], []
-            for i, packed in enumerate(found):
+            row, at, many = row_runs(block.column("windows"))
+            inside = at + many + (WINDOW - 1) <= words.count[row]
+            row, at, many = row[inside], at[inside] + words.first[row[inside]], many[inside]
+            drop = np.zeros(len(words.start) + 1, np.int64)
+            np.add.at(drop, at, 1)
+            np.add.at(drop, at + many + (WINDOW - 1), -1)
+            gone = np.cumsum(drop)[:-1] > 0
+            kept, lost, spans = [], [], []
+            for i in range(block.num_rows):
                 lo, hi = int(words.first[i]), int(words.first[i + 1])
-                drop = np.zeros(hi - lo + 1, np.int64)
-                p = places_of(packed)
-                p = p[p + WINDOW <= hi - lo]
-                np.add.at(drop, p, 1)
-                np.add.at(drop, p + WINDOW, -1)
-                gone = np.cumsum(drop)[:-1] > 0
-                edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+                own = gone[lo:hi]
+                edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                stay = np.flatnonzero(~gone) + lo
-                data = words.data
-                kept.append(b" ".join([data[a:b].tobytes() for a, b in zip(words.start[stay], words.end[stay], strict=True)]).decode("utf-8", "replace"))
-                n.append(hi - lo)
-                lost.append(int(gone.sum()))
+                stay = np.flatnonzero(~own) + lo
+                text = words.data[words.offsets[i]: words.offsets[i + 1]].tobytes()
+                base = words.offsets[i]
+                kept.append(b" ".join([text[a:b] for a, b in zip((words.start[stay] - base).tolist(), (words.end[stay] - base).tolist(), strict=True)])
+                            .decode("utf-8", "replace"))
+                lost.append(int(own.sum()))
+            n = words.count
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string()),
