@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fareflow.llm import chat, embeddings, license, minhash, mixing, packing, quality, sharding, substring, textnum, toxicity
-from fareflow.llm.common import components, spread_rank, word_array, word_count
+from fareflow.llm.common import components, hash31, spread_rank, word_array, word_count
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, kept int, shard int, rank string"
 
@@ -74,7 +74,7 @@ def test_word_helpers_follow_the_pattern(spark, texts):
 
 
 def test_spread_rank_is_a_rank_whatever_the_slices(spark):
-    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id", (F.xxhash64("id") & 0x7FFFFFFF).alias("h"))
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id", hash31(F.col("id")).alias("h"))
     got = {r["id"]: r["rank"] for r in spread_rank(rows, ["k"], "h", ["id"], "rank").collect()}
     for k in range(3):
         own = sorted((r["h"], r["id"]) for r in rows.where(f"k = {k}").collect())
