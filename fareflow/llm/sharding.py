@@ -73,11 +73,11 @@ def communication_matrix(sizes: Sequence[int], shards: Sequence[int], seed: int)
 def shuffle_into_shards(rows: DataFrame, identity: Sequence[str], shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """Add ``shard`` (0 to shards - 1, counts at most one apart) and ``slot`` (gapless from 0 in the shard, at random).
 
-    ``identity``: the columns that tell rows apart. The matrix has one row per million rows and is the only thing the
+    Columns of these names are replaced. ``identity``: the columns that tell rows apart. The matrix has one row per million rows and is the only thing the
     driver draws. The rank in a shard is spread over slices of a hash, so no task holds a shard.
     """
     named = [F.col(c) for c in identity]
-    kept = rows.columns
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
     dealt = checkpointed(rows.select(
         *kept, hash31(F.lit(seed), *named).alias("__first"), hash31(F.lit(seed + 1), *named).alias("__second")))
     total = dealt.count()
