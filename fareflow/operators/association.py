@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareflow.functions.columns import as_col, association_label, equal_width_bin, flag, ratio
@@ -236,12 +236,14 @@ def co_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             yield pd.DataFrame({"i": i, "j": j, "n": n, "mi": mean[i], "mj": mean[j], "m2": m2[i, j]})
 
     parts = rows.mapInPandas(fold, "i int, j int, n bigint, mi double, mj double, m2 double")
-    n, mi, mj = F.col("n"), F.col("mi"), F.col("mj")
-    return parts.groupBy("i", "j").agg(
-        F.sum("n").alias("n"), F.sum("m2").alias("within"), F.sum(n * mi).alias("si"), F.sum(n * mj).alias("sj"),
-        F.sum(n * mi * mj).alias("sij"),
-    ).select("i", "j", "n", (F.col("si") / F.col("n")).alias("mean_i"), (F.col("sj") / F.col("n")).alias("mean_j"),
-             (F.col("within") + F.col("sij") - F.col("si") * F.col("sj") / F.col("n")).alias("centred"))
+    # merged around the common mean: sums of raw products would cancel where a mean is large against the spread
+    n, cell = F.col("n"), Window.partitionBy("i", "j")  # one row per task in a cell
+    common = lambda m: F.sum(n * F.col(m)).over(cell) / F.sum(n).over(cell)
+    placed = parts.withColumns({"mean_i": common("mi"), "mean_j": common("mj")})
+    apart = n * (F.col("mi") - F.col("mean_i")) * (F.col("mj") - F.col("mean_j"))
+    return placed.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.first("mean_i").alias("mean_i"), F.first("mean_j").alias("mean_j"),
+        F.sum(F.col("m2") + apart).alias("centred"))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], complete: bool = False) -> DataFrame:

@@ -46,6 +46,6 @@ def id_parts(df: DataFrame, column: str) -> DataFrame:
 
 def id_profile(df: DataFrame, column: str) -> DataFrame:
     """Per letter prefix and length: rows and the numeric range of the digits."""
-    number = F.col("digits").cast("decimal(38,0)").cast("bigint")
+    number = F.col("digits").try_cast("bigint")  # more digits than a bigint holds: no number
     return id_parts(df, column).groupBy("letters", "id_length").agg(
         F.count("*").alias("n"), F.min(number).alias("min_number"), F.max(number).alias("max_number"))
