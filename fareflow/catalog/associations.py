@@ -17,8 +17,8 @@ NUMERIC = ["avg_vtat_imputed", "is_high_vtat", "hour", "dayofweek", "month", "is
            "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos"]
 CATEGORIES = ["vehicle_type", "vtat_bucket", "is_weekend", "is_peak_hour", "is_late_night", "is_high_vtat", "is_cancelled"]
 FLAGS = ["is_instant_arrival", "is_timeout", "is_long_wait"]
-SPREAD = ["pickup_location", "weekday", "month", "day_of_month", "week_of_year", "quarter", "is_night", "is_business",
-          "is_rush", "hour"]
+SPREAD = ["pickup_location", "hour", "weekday", "month", "day_of_month", "week_of_year", "quarter", "is_night", "is_business",
+          "is_rush"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

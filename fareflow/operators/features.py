@@ -19,7 +19,7 @@ VTAT_ZONES = [
     (2.0, 2.9, "Zero-cancel"), (3.0, 5.0, "Low"), (5.1, 11.9, "Baseline"),
     (12.0, 15.0, "Dip"), (15.1, 20.0, "Guaranteed-cancel"),
 ]
-NIGHT_HOURS = [22, 23, 0, 1, 2, 3, 4, 5]
+NIGHT_HOURS = [0, 1, 2, 3, 4, 5, 22, 23]
 BUSINESS_HOURS = [9, 10, 11, 12, 13, 14, 15, 16, 17]
 RUSH_HOURS = [7, 8, 9, 17, 18, 19]
 DEFAULT_RATE = 0.32
