@@ -21,7 +21,6 @@ from fareflow.sources.tables import bookings, table
 from fareflow.streaming.jobs import drift_table, windowed_rates
 
 KEY = ["booking_id", "date", "time"]
-DIGITS = 4
 
 
 def silver_rows(spark, sf):
@@ -52,7 +51,7 @@ def _boosting(df, **more):
 
 def ml_logreg(spark, sf):
     df = silver_rows(spark, sf)
-    return m.tuned_evaluation(_logistic(df), df, "Logistic Regression", digits=DIGITS)
+    return m.tuned_evaluation(_logistic(df), df, "Logistic Regression")
 
 
 def ml_coefficients(spark, sf):
@@ -61,21 +60,21 @@ def ml_coefficients(spark, sf):
 
 def ml_rf(spark, sf):
     df = silver_rows(spark, sf)
-    return m.tuned_evaluation(_forest(df), df, "Random Forest", digits=DIGITS)
+    return m.tuned_evaluation(_forest(df), df, "Random Forest")
 
 
 def ml_gbt_a(spark, sf):
     df = silver_rows(spark, sf)
-    return m.tuned_evaluation(_boosting(df), df, "Boosting A", digits=DIGITS)
+    return m.tuned_evaluation(_boosting(df), df, "Boosting A")
 
 
 def ml_gbt_b(spark, sf):
     df = silver_rows(spark, sf)
-    return m.tuned_evaluation(_boosting(df, subsample=0.8, seed=7), df, "Boosting B", digits=DIGITS)
+    return m.tuned_evaluation(_boosting(df, subsample=0.8, seed=7), df, "Boosting B")
 
 
 def ml_cv(spark, sf):
-    return m.cross_validate(train_val(silver_rows(spark, sf)), KEY, 0.45, folds=3, max_iter=20, digits=DIGITS)
+    return m.cross_validate(train_val(silver_rows(spark, sf)), KEY, 0.45, folds=3, max_iter=20)
 
 
 def ml_grid(spark, sf):

@@ -45,31 +45,20 @@ def rate_metrics(beta: float = 2.0) -> dict[str, Column]:
     return {"precision": p, "recall": r, f"f{beta:g}": f_beta(p, r, beta), "f1": f_beta(p, r, 1.0)}
 
 
-def score_table(df: DataFrame, y: str, score: str, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+def score_table(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: pos, neg and the counts with a higher score (tp_above, fp_above) and totals.
 
-    With ``digits`` scores are first rounded, so at most 10^digits + 1 rows per group remain and a
-    window per group is enough; otherwise running totals over range slices keep it exact.
+    Running totals over range slices keep it exact for any number of distinct scores.
     """
     label = F.col(y)
-    s = F.col(score) if digits is None else F.round(F.col(score), digits)
     counts = (df.where(label.isNotNull() & F.col(score).isNotNull())
-              .groupBy(*by, s.alias("score"))
+              .groupBy(*by, F.col(score).alias("score"))
               .agg(F.sum(label).cast("bigint").alias("pos"), F.sum(1 - label).cast("bigint").alias("neg")))
-    if digits is None:
-        placed = running_totals(counts, "score", ["pos", "neg"], by)
-        return placed.select(*by, "score", "pos", "neg",
-                             (F.col("pos_total") - F.col("pos_before") - F.col("pos")).alias("tp_above"),
-                             (F.col("neg_total") - F.col("neg_before") - F.col("neg")).alias("fp_above"),
-                             "pos_total", "neg_total")
-    keys = list(by) or [F.lit(1)]
-    above = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    return counts.select(
-        *by, "score", "pos", "neg",
-        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp_above"),
-        F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp_above"),
-        F.sum("pos").over(whole).alias("pos_total"), F.sum("neg").over(whole).alias("neg_total"))
+    placed = running_totals(counts, "score", ["pos", "neg"], by)
+    return placed.select(*by, "score", "pos", "neg",
+                         (F.col("pos_total") - F.col("pos_before") - F.col("pos")).alias("tp_above"),
+                         (F.col("neg_total") - F.col("neg_before") - F.col("neg")).alias("fp_above"),
+                         "pos_total", "neg_total")
 
 
 def pr_curve(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -90,15 +79,14 @@ def curve_areas(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scores.groupBy(*by).agg(F.sum(step).alias("pr_auc"), F.sum(pairs).alias("roc_auc"))
 
 
-def evaluate(df: DataFrame, y: str, score: str, threshold: float | Column, by: Sequence[str] = (),
-             digits: int | None = None) -> DataFrame:
+def evaluate(df: DataFrame, y: str, score: str, threshold: float | Column, by: Sequence[str] = ()) -> DataFrame:
     """f2, f1, precision, recall, pr_auc, roc_auc and the goal flags; one row per group.
 
     Everything, the confusion counts included, comes from the per-score counts: one shuffle of the rows.
     ``threshold`` may be a column over the group keys.
     """
     t = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    scores = score_table(df, y, score, by, digits)
+    scores = score_table(df, y, score, by)
     hit = F.col("score") >= t
     tp, fp = F.col("tp_above") + F.col("pos"), F.col("fp_above") + F.col("neg")
     ap = ratio("pos", "pos_total") * ratio(tp, tp + fp)

@@ -107,13 +107,13 @@ FITS = {
 def test_models_beat_the_dummy(spark, signal, kind, tmp_path):
     train, val = signal.where("split = 'train'"), signal.where("split = 'val'")
     model = FITS[kind](train, val)
-    rows = {r.split: r for r in models.tuned_evaluation(model, signal, kind, digits=3).collect()}
+    rows = {r.split: r for r in models.tuned_evaluation(model, signal, kind).collect()}
     assert rows["test"].f2 > 0.8 and rows["val"].roc_auc > 0.85
     top = models.importances(spark, model, kind, top=10)
     assert top.where("rank_order = 1").first().feature == "avg_vtat_imputed" and top.count() == 10
     again = models.score(FITS[kind](train, val), val).agg(F.sum(models.PROB)).first()[0]
     assert again == pytest.approx(models.score(model, val).agg(F.sum(models.PROB)).first()[0], rel=1e-9)
-    metrics = models.tuned_evaluation(model, signal, kind, ("test",), digits=3)
+    metrics = models.tuned_evaluation(model, signal, kind, ("test",))
     models.save_artifact(model, metrics, str(tmp_path / kind))
     loaded, table = models.load_artifact(spark, str(tmp_path / kind))
     assert table.first().feature_names == FEATURES
@@ -121,7 +121,7 @@ def test_models_beat_the_dummy(spark, signal, kind, tmp_path):
 
 
 def test_cross_validation_and_grid(spark, signal):
-    cv = models.cross_validate(signal, ["booking_id"], 0.45, folds=3, max_iter=15, digits=3)
+    cv = models.cross_validate(signal, ["booking_id"], 0.45, folds=3, max_iter=15)
     got = {r.metric: r for r in cv.collect()}
     assert set(got) == {"f2", "f1", "precision", "recall", "roc_auc"} and got["roc_auc"].mean > 0.8
     results, best = models.grid_search(signal, ["booking_id"], cs=(0.001, 1), folds=2, max_iter=15)

@@ -200,11 +200,16 @@ def test_score_on_a_threshold(spark):
     assert [got[i] for i in range(80)] == [sum(s >= t for s in scores) for t in grid]
 
 
+def test_scores_close_to_the_threshold_count_as_they_are(spark):
+    """Scores that differ in the fifth decimal stay apart, in the counts and in the areas."""
+    df = spark.createDataFrame([(0, 0.44996), (1, 0.449961), (1, 0.46), (0, 0.2)], "y int, p double")
+    m = ev.evaluate(df, "y", "p", 0.45).first()
+    assert (m.tp, m.fp, m.fn, m.tn) == (1, 0, 1, 2) and m.roc_auc == pytest.approx(1.0)
+
+
 def test_areas(spark, sample):
     df = spark.createDataFrame(sample).withColumn("p", F.col("p").cast("double"))
     exact = ev.evaluate(df, "y", "p", 0.5).first()
-    rounded = ev.evaluate(df, "y", "p", 0.5, digits=3).first()
-    assert (exact.pr_auc, exact.roc_auc) == pytest.approx((rounded.pr_auc, rounded.roc_auc))
     judge = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", metricName="areaUnderROC", numBins=0)
     assert exact.roc_auc == pytest.approx(judge.evaluate(df), abs=1e-9)
     assert exact.tp + exact.fp + exact.fn + exact.tn == len(sample)
