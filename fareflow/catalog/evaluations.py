@@ -28,7 +28,7 @@ def _r(df, *names, digits=6):
 
 
 def eval_metrics(spark, sf):
-    m = ev.evaluate(bookings(spark, sf, "y", "score"), "y", "score", 0.5, digits=2)
+    m = ev.evaluate(bookings(spark, sf, "y", "score"), "y", "score", 0.5)
     return _r(m, *METRICS)
 
 
@@ -56,12 +56,12 @@ def eval_best_threshold(spark, sf):
 
 
 def eval_pr(spark, sf):
-    s = ev.score_table(bookings(spark, sf, "y", "score"), "y", "score", digits=2)
+    s = ev.score_table(bookings(spark, sf, "y", "score"), "y", "score")
     return _r(ev.pr_curve(s), "precision", "recall")
 
 
 def eval_roc(spark, sf):
-    s = ev.score_table(bookings(spark, sf, "y", "score"), "y", "score", digits=2)
+    s = ev.score_table(bookings(spark, sf, "y", "score"), "y", "score")
     return _r(ev.roc_curve(s), "fpr", "tpr")
 
 
@@ -75,7 +75,7 @@ def eval_dummy(spark, sf):
 
 
 def eval_gap(spark, sf):
-    m = ev.evaluate(bookings(spark, sf, "y", "score", "split"), "y", "score", 0.45, ["split"], digits=2)
+    m = ev.evaluate(bookings(spark, sf, "y", "score", "split"), "y", "score", 0.45, ["split"])
     return _r(ev.split_gap(m, METRICS), "val", "test", "gap")
 
 
@@ -85,7 +85,7 @@ def test_metrics(spark, sf):
     best = ev.best_threshold(ev.threshold_sweep(scored.where("split = 'val'"), "y", "p", ["model_name"]), ["model_name"])
     # one row per model
     test = scored.where("split = 'test'").join(F.broadcast(best), "model_name")
-    m = ev.evaluate(test, "y", "p", F.col("best_threshold"), ["model_name", "best_threshold"], digits=2)
+    m = ev.evaluate(test, "y", "p", F.col("best_threshold"), ["model_name", "best_threshold"])
     return m.withColumnRenamed("best_threshold", "optimal_threshold")
 
 
@@ -113,7 +113,7 @@ def biz_net_value(spark, sf):
 
 def biz_costs(spark, sf):
     cells, days = confusion_days(spark, sf)
-    return _r(b.impact(cells, days), "interventions_daily", "roi_pct", "expected_savings")
+    return _r(b.impact(cells, days), "interventions_daily", "roi_pct", "expected_savings", "expected_savings_annual")
 
 
 def biz_break_even(spark, sf):
@@ -122,11 +122,6 @@ def biz_break_even(spark, sf):
     return _r(out, *out.columns)
 
 
-def biz_kpis(spark, sf):
-    df = bookings(spark, sf, "split", "is_cancelled", "pickup_location", "vehicle_type")
-    return _r(b.dataset_overview(df), "value")
-
-
 def _pr(tp, fp, fn):
     p, rc = f"coalesce({tp} / nullif({tp} + {fp}, 0), 0)", f"coalesce({tp} / nullif({tp} + {fn}, 0), 0)"
     return p, rc
@@ -218,7 +213,9 @@ QUERIES = {
     "biz_costs": (biz_costs, q(f"""
         select tp, fp, fn, tn, tp * 20 as gross_savings, fp * 5 as false_alarm_cost, fn * 20 as missed_cancellation_cost,
                tp * 15 - fp * 5 - fn * 20 as net_cost_matrix, tp * 20 - fp * 5 - fn * 20 as net_gross,
-               {r("tp * 20 * 0.5 - fp * 5")} as expected_savings, tp * 10 - fp * 5 as profit,
+               {r("tp * 20 * 0.5 - fp * 5")} as expected_savings,
+               {r("(tp * 20 * 0.5 - fp * 5) * 365 / (select count(distinct date) from sc)")} as expected_savings_annual,
+               tp * 10 - fp * 5 as profit,
                {r("(tp + fp) / (select count(distinct date) from sc)")} as interventions_daily,
                {r("(tp * 10 - fp * 5) / (fp * 5) * 100")} as roi_pct from cm""", SC, CM)),
     "biz_break_even": (biz_break_even, q(f"""

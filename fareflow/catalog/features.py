@@ -82,8 +82,7 @@ def feat_target_enc(spark, sf):
 
 
 def feat_label_enc(spark, sf):
-    """Fitted without the first label, so that unseen labels occur."""
-    labels = checkpointed(ft.fit_labels(_train(spark, sf, "vehicle_type").where("vehicle_type <> '1-URGENT'")))
+    labels = checkpointed(ft.fit_labels(_train(spark, sf, "vehicle_type")))
     df = ft.add_label_code(bookings(spark, sf, "vehicle_type"), labels)
     return df.groupBy("vehicle_type", "vehicle_type_encoded").agg(F.count("*").alias("n"))
 
@@ -98,7 +97,7 @@ def feat_chain(spark, sf):
 
 def feat_chain_state(spark, sf):
     _, model = chain_features(spark, sf)
-    return model.state.where(F.col("key").isNotNull()).select("artifact", "key", rounded("value").alias("value"))
+    return model.state.select("artifact", "key", rounded("value").alias("value"))
 
 
 def feat_residual_nulls(spark, sf):
@@ -173,8 +172,7 @@ QUERIES = {
                    where split = 'train' group by 1) t on t.drop_location = bk.drop_location
         cross join (select avg(is_cancelled) as g from bk where split = 'train') group by bk.drop_location, e, g""", BK)),
     "feat_label_enc": (feat_label_enc, q("""
-        select vehicle_type, case vehicle_type when '2-HIGH' then 0 when '3-MEDIUM' then 1 when '4-NOT SPECIFIED' then 2
-               when '5-LOW' then 3 else -1 end as vehicle_type_encoded, count(*) as n from bk group by 1""", BK)),
+        select vehicle_type, vehicle_type_encoded, count(*) as n from ft group by all""", FT)),
     "feat_chain": (feat_chain, q(f"""
         select booking_id, split, is_cancelled, {r("avg_vtat_imputed")} as avg_vtat_imputed, vtat_bucket, is_high_vtat,
                {r("pickup_encoded")} as pickup_encoded, {r("drop_encoded")} as drop_encoded, vehicle_type_encoded, hour,
@@ -183,7 +181,9 @@ QUERIES = {
     "feat_chain_state": (feat_chain_state, q(f"""
         select 'vtat_median' as artifact, v as key, {r("m")} as value from med
         union all select 'vehicle_code', v, code::double from lab
-        union all select 'pickup_encoding', k, {r("e")} from ep union all select 'drop_encoding', k, {r("e")} from ed""", FT)),
+        union all select 'pickup_encoding', k, {r("e")} from ep union all select 'drop_encoding', k, {r("e")} from ed
+        union all select 'vtat_median', null, {r("mv")} from gm
+        union all select 'pickup_encoding', null, {r("m")} from gm union all select 'drop_encoding', null, {r("m")} from gm""", FT)),
     "feat_residual_nulls": (feat_residual_nulls, q(MISSING_SQL, FT)),
     "vtat_bucket_rates": (vtat_bucket_rates, q(f"""
         select {BUCKET.replace("X", IMPUTED)} as vtat_bucket, cast(sum(is_cancelled) as bigint) as cancelled, count(*) as total,

@@ -8,6 +8,7 @@ from fareflow.catalog.sql import BK, BL, EV, TIME_TEXT, q, r
 from fareflow.functions.columns import rounded
 from fareflow.operators import cleaning, counts, duplicates, series
 from fareflow.operators.assumptions import assumption_report
+from fareflow.plans.chain import train_val
 from fareflow.sources.tables import STATUS_MAP, TRAIN_END, VAL_END, bookings, raw_bookings, timed_events
 
 DUP_KEYS = ["customer_id", "date", "pickup_location", "drop_location"]
@@ -19,7 +20,7 @@ def ingest_clean(spark, sf):
 
 def ingest_handoff(spark, sf):
     rows = cleaning.handoff(cleaning.clean(raw_bookings(spark, sf), STATUS_MAP))
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).where("n > 1 or avg_vtat is null")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
 def ingest_status_target(spark, sf):
@@ -85,8 +86,7 @@ def id_parts(spark, sf):
 
 
 def calendar_gaps(spark, sf):
-    df = bookings(spark, sf, "date", "is_cancelled", "avg_vtat").where("is_cancelled = 1 and avg_vtat > 19")
-    return series.missing_days(df, "1995-01-01", "2001-12-31")
+    return series.missing_days(bookings(spark, sf, "date"), "1995-01-01", "2001-12-31")
 
 
 def daily_rate_rolling(spark, sf):
@@ -131,8 +131,7 @@ def split_summary(spark, sf):
 
 def union_train_val(spark, sf):
     df = bookings(spark, sf, "split", "date", "is_cancelled")
-    both = df.where("split = 'train'").unionByName(df.where("split = 'val'"))
-    return both.groupBy("split").agg(F.count("*").alias("n"), F.sum("is_cancelled").cast("bigint").alias("cancelled"),
+    return train_val(df).groupBy("split").agg(F.count("*").alias("n"), F.sum("is_cancelled").cast("bigint").alias("cancelled"),
                                      F.max("date").alias("last_date"))
 
 
@@ -158,7 +157,7 @@ QUERIES = {
                case when status <> 'R' then l_linestatus end as payment_method, is_cancelled from bk""", BK)),
     "ingest_handoff": (ingest_handoff, q(f"""
         select date, {TIME_TEXT} as time, vehicle_type, pickup_location, drop_location, avg_vtat, is_cancelled, count(*) as n
-        from bk group by all having count(*) > 1 or avg_vtat is null""", BK)),
+        from bk group by all""", BK)),
     "ingest_status_target": (ingest_status_target, f"""
         select t as target, count(*) as n, {r("count(*) / sum(count(*)) over ()")} as share
         from (select case l_returnflag when 'R' then 1 when 'A' then 0 end as t from lineitem) group by t"""),
@@ -197,7 +196,7 @@ QUERIES = {
         from (select cast(l_orderkey as varchar) || cast(l_linenumber as varchar) as k from lineitem) group by 2"""),
     "calendar_gaps": (calendar_gaps, q("""
         select cast(d as date) as date from generate_series(date '1995-01-01', date '2001-12-31', interval 1 day) t(d)
-        except select date from bk where is_cancelled = 1 and avg_vtat > 19""", BL)),
+        except select date from bk""", BL)),
     "daily_rate_rolling": (daily_rate_rolling, q(f"""
         select date, cast(c as bigint) as cancelled, t as total, {r("v")} as cancel_rate, isodow(date) - 1 as weekday,
                (isodow(date) > 5)::int as is_weekend, {_rolling("d", "date", "v", 7, 3, 3)} as rolling_7,

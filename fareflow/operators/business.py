@@ -36,6 +36,7 @@ def impact(cells: DataFrame, n_days: Column | int) -> DataFrame:
         "net_cost_matrix": tp * GAIN_TP - fp * COST_FP - fn * COST_FN,
         "net_gross": tp * RIDE_VALUE - fp * COST_FP - fn * COST_FN,
         "expected_savings": tp * F.lit(RIDE_VALUE * SUCCESS_RATE) - fp * COST_FP,
+        "expected_savings_annual": ratio((tp * F.lit(RIDE_VALUE * SUCCESS_RATE) - fp * COST_FP) * 365, days),
         "profit": tp * PROFIT_TP - fp * COST_FP,
         "interventions_daily": ratio(tp + fp, days),
         "roi_pct": ratio(tp * PROFIT_TP - fp * COST_FP, fp * COST_FP) * 100,

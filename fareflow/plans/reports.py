@@ -135,7 +135,7 @@ def business_impact(cells: DataFrame, n_days: Column | int) -> DataFrame:
         ("gross_savings", "gross_savings", money("gross_savings", " (TP x $20)")),
         ("false_alarm_cost", "false_alarm_cost", money("false_alarm_cost", " (FP x $5)")),
         ("missed_cancellation_cost", "missed_cancellation_cost", money("missed_cancellation_cost", " (FN x $20)")),
-        ("net_annual_savings", "expected_savings", money("expected_savings", "")),
+        ("net_annual_savings", "expected_savings_annual", money("expected_savings_annual", "")),
         ("roi_percentage", "roi_pct", F.concat(F.format_number(F.col("roi_pct"), 0), F.lit("%"))),
         ("intervention_volume_daily", "interventions_daily",
          F.concat(F.lit("~"), F.format_number(F.col("interventions_daily"), 0), F.lit(" rides/day flagged"))),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareflow.operators.counts import temporal_split
+
 TRAIN_END = "2000-02-29"
 VAL_END = "2000-12-31"
 STATUS_MAP = {"R": 1, "A": 0, "N": 0}
@@ -44,8 +46,7 @@ def _score(a: int, b: int, lift: int) -> Column:
 
 
 def _split() -> Column:
-    return (F.when(_date() <= F.lit(TRAIN_END).cast("date"), "train")
-            .when(_date() <= F.lit(VAL_END).cast("date"), "val").otherwise("test"))
+    return temporal_split(_date(), TRAIN_END, VAL_END)
 
 
 FROM_LINEITEM = {
