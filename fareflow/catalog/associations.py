@@ -428,12 +428,15 @@ QUERIES = {
         + " union all ".join(_logodds(f) for f in ("avg_vtat_imputed", "hour", "month")) + ")", BL, NF)),
     "pivot_rates": (pivot_rates, q("select vtat_zone, " + ", ".join(
         r(f"avg(is_cancelled) filter (where vehicle_type = '{p}')") + f" as p{i}" for i, p in enumerate(PRIORITIES, 1))
+        + f", count(*) filter (where coalesce(vehicle_type not in ({', '.join(repr(p) for p in PRIORITIES)}), true)) as n_unlisted"
         + " from zn where vtat_zone is not null group by 1", BK, ZN)),
     "pivot_hour_category": (pivot_hour_category, q("select h as hour, " + ", ".join(
-        r(f"avg(is_cancelled) filter (where category = '{i}')") + f" as c{i}" for i in range(7)) + " from ev group by 1", EV)),
+        r(f"avg(is_cancelled) filter (where category = '{i}')") + f" as c{i}" for i in range(7))
+        + ", count(*) filter (where coalesce(category::int not between 0 and 6, true)) as n_unlisted from ev group by 1", EV)),
     "pivot_bucket_peak": (pivot_bucket_peak, q(f"""
         select vtat_bucket::double as vtat_bucket, {r("avg(is_cancelled) filter (where is_peak_hour = 0)")} as off_peak,
-               {r("avg(is_cancelled) filter (where is_peak_hour = 1)")} as peak_hour
+               {r("avg(is_cancelled) filter (where is_peak_hour = 1)")} as peak_hour,
+               count(*) filter (where coalesce(is_peak_hour not in (0, 1), true)) as n_unlisted
         from nf where vtat_bucket <> 'nan' group by 1""", BL, NF)),
     "pivot_spread": (pivot_spread, q(f"""
         , z as (select vtat_zone, vehicle_type, avg(is_cancelled) as m from zn where vtat_zone is not null group by 1, 2)

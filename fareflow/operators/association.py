@@ -329,11 +329,15 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def pivot_rates(df: DataFrame, row: str, column: str, values: Sequence, target: str = "is_cancelled",
                 names: Sequence[str] | None = None) -> DataFrame:
-    """Mean target per row key and listed column value. The list makes the pivot a single pass."""
+    """Mean target per row key and listed column value. The list makes the pivot a single pass.
+
+    ``n_unlisted`` counts the rows whose value is not in the list (a null value included).
+    """
     out = df.where(F.col(row).isNotNull()).groupBy(row)
     cells = [F.avg(F.when(F.col(column) == F.lit(v), F.col(target))).alias(n)
              for v, n in zip(values, names or [str(v) for v in values], strict=True)]
-    return out.agg(*cells)
+    listed = F.coalesce(F.col(column).isin(*values), F.lit(False))
+    return out.agg(*cells, F.count_if(~listed).alias("n_unlisted"))
 
 
 def pivot_spread(df: DataFrame, row: str, column: str, target: str = "is_cancelled") -> DataFrame:
