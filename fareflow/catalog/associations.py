@@ -17,8 +17,8 @@ NUMERIC = ["avg_vtat_imputed", "is_high_vtat", "hour", "dayofweek", "month", "is
            "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos"]
 CATEGORIES = ["vehicle_type", "vtat_bucket", "is_weekend", "is_peak_hour", "is_late_night", "is_high_vtat", "is_cancelled"]
 FLAGS = ["is_instant_arrival", "is_timeout", "is_long_wait"]
-SPREAD = ["pickup_location", "hour", "weekday", "month", "day_of_month", "week_of_year", "quarter", "is_night", "is_business",
-          "is_rush"]
+SPREAD = ["vehicle_type", "pickup_location", "drop_location", "hour", "weekday", "month", "day_of_month", "week_of_year", "quarter",
+          "is_night", "is_business", "is_rush"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -157,7 +157,7 @@ def assoc_mi_knn_value(spark, sf):
 
 
 def assoc_missing_spread(spark, sf):
-    df = ft.add_vtat_missing(bookings(spark, sf, "date", "time", "avg_vtat", "pickup_location"))
+    df = ft.add_vtat_missing(bookings(spark, sf, "date", "time", "avg_vtat", "vehicle_type", "pickup_location", "drop_location"))
     df = ft.add_hour_flags(ft.add_calendar(df).withColumn("hour", F.floor(series.minute_of_day("time") / 60).cast("int")))
     return _r(a.missing_spread(df, "vtat_missing", SPREAD), "min_rate", "max_rate", "spread_pp")
 
@@ -303,7 +303,8 @@ def _mean_rank(c: str) -> str:
 
 
 HOUR = "(sec // 3600)"
-SPREAD_SQL = {"pickup_location": "pickup_location", "weekday": "isodow(date)", "month": "month(date)", "day_of_month": "day(date)",
+SPREAD_SQL = {"vehicle_type": "vehicle_type", "pickup_location": "pickup_location", "drop_location": "drop_location",
+              "weekday": "isodow(date)", "month": "month(date)", "day_of_month": "day(date)",
               "week_of_year": "week(date)", "quarter": "quarter(date)", "is_night": f"{HOUR} in (22,23,0,1,2,3,4,5)",
               "is_business": f"{HOUR} between 9 and 17", "is_rush": f"{HOUR} in (7,8,9,17,18,19)", "hour": HOUR}
 ZN = ("zn as (select vehicle_type, is_cancelled, case when avg_vtat <= 2.9 then 'instant' when avg_vtat <= 5 then 'short' "
@@ -422,7 +423,7 @@ QUERIES = {
     "assoc_mi_knn": (assoc_mi_knn, q(_knn("nf", NUMERIC), BL, NF)),
     "assoc_mi_knn_value": (assoc_mi_knn_value, q(_knn("ev", ["value"]), EV)),
     "assoc_missing_spread": (assoc_missing_spread, q(
-        " union all ".join(_spread(n, SPREAD_SQL[n]) for n in SPREAD), BL)),
+        " union all ".join(_spread(n, SPREAD_SQL[n]) for n in SPREAD), BK)),
     "assoc_logodds": (assoc_logodds, q(
         f"select feature, bin, n, {r('p')} as rate, case when p > 0 then {r('ln(p / (1 - p + 1e-10))')} end as log_odds from ("
         + " union all ".join(_logodds(f) for f in ("avg_vtat_imputed", "hour", "month")) + ")", BL, NF)),
