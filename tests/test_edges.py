@@ -13,6 +13,7 @@ from fareflow.operators import evaluation as ev
 from fareflow.operators import features as ft
 from fareflow.plans.chain import BookingFeatures
 from fareflow.schemas import CLEAN_BOOKINGS, RAW_BOOKINGS, check_contract
+from fareflow.sources.tables import bookings
 
 VTAT = [None, 0.0, 0.1, 2.9, 2.95, 5.0, 5.1, 10.0, 11.9, 15.0, 15.1, 20.0, 20.1]
 
@@ -208,3 +209,15 @@ def test_global_mean_when_no_other(spark):
 def test_temporal_split_edges(spark):
     df = spark.createDataFrame([(date(2024, 9, 30),), (date(2024, 10, 1),), (date(2024, 11, 30),), (date(2024, 12, 1),), (None,)], "date date")
     assert [r[0] for r in df.select(counts.temporal_split("date")).collect()] == ["train", "val", "val", "test", None]
+
+
+def test_pivot_counts_values_outside_the_list(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 0), ("a", None, 1), ("a", "z", 1)], "r string, c string, is_cancelled int")
+    row = a.pivot_rates(df, "r", "c", ["x", "y"]).first()
+    assert (row.x, row.y, row.n_unlisted) == (1.0, 0.0, 2)
+
+
+def test_a_row_without_a_date_has_no_split(spark, tmp_path):
+    spark.sql("select cast(null as timestamp) l_shipdate, 'R' l_returnflag union all select timestamp '1999-01-01', 'A'").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    assert {r.split for r in bookings(spark, str(tmp_path), "split").collect()} == {None, "train"}
