@@ -6,11 +6,13 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from fareflow.catalog.sql import BK, BL, EV, q, r
+from fareflow.catalog.features import chain_features
+from fareflow.catalog.sql import BK, BL, EV, FT, q, r
 from fareflow.functions.columns import rounded
 from fareflow.operators import association as a
 from fareflow.operators import features as ft
 from fareflow.operators import rank_stats, series
+from fareflow.schemas import FEATURES, TARGET
 from fareflow.sources.tables import bookings, timed_events
 
 NUMERIC = ["avg_vtat_imputed", "is_high_vtat", "hour", "dayofweek", "month", "is_weekend", "is_peak_hour", "is_late_night",
@@ -104,8 +106,8 @@ def assoc_corr_matrix(spark, sf):
 
 
 def assoc_corr_strong(spark, sf):
-    df = numeric_frame(spark, sf).select(*NUMERIC)
-    return _r(a.strong_pairs(a.correlation_pairs(df, NUMERIC, complete=True)), "r")
+    df = numeric_frame(spark, sf).select(*NUMERIC, "is_cancelled")
+    return _r(a.strong_pairs(a.correlation_pairs(df, [*NUMERIC, "is_cancelled"], complete=True)), "r")
 
 
 def assoc_corr_target(spark, sf):
@@ -143,7 +145,7 @@ def assoc_vif_pair(spark, sf):
 
 
 def assoc_mi_binned(spark, sf):
-    mi = rank_stats.binned_mutual_information(numeric_frame(spark, sf), ["avg_vtat_imputed", "hour", "month", "is_weekend"])
+    mi = rank_stats.binned_mutual_information(numeric_frame(spark, sf), NUMERIC)
     return _r(mi, "mutual_information", digits=7)
 
 
@@ -163,8 +165,9 @@ def assoc_missing_spread(spark, sf):
 
 
 def assoc_logodds(spark, sf):
-    df = numeric_frame(spark, sf)
-    return _r(rank_stats.decile_log_odds(df, ["avg_vtat_imputed", "hour", "month"]), "rate", "log_odds")
+    """Every model feature on the training rows."""
+    df = chain_features(spark, sf)[0].where("split = 'train'").select(*FEATURES, TARGET)
+    return _r(rank_stats.decile_log_odds(df, FEATURES), "rate", "log_odds")
 
 
 def pivot_rates(spark, sf):
@@ -293,9 +296,9 @@ def _knn(src: str, features: list[str]) -> str:
 
 
 def _logodds(f: str) -> str:
-    cuts = f"(select quantile_cont({f}::double, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) as q from nf)"
+    cuts = f"(select quantile_cont({f}::double, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) as q from ftr)"
     return f"""select '{f}' as feature, b as bin, count(*) as n, avg(is_cancelled) as p from (
-      select is_cancelled, greatest(len(list_filter(list_distinct(q), lambda e: e < {f})), 1)::int - 1 as b from nf cross join {cuts}) group by b"""
+      select is_cancelled, greatest(len(list_filter(list_distinct(q), lambda e: e < {f})), 1)::int - 1 as b from ftr cross join {cuts} where {f} is not null) group by b"""
 
 
 def _mean_rank(c: str) -> str:
@@ -389,7 +392,7 @@ QUERIES = {
     "assoc_corr_matrix": (assoc_corr_matrix, q(
         " union all ".join(_corr(x, y) for x, y in combinations([*NUMERIC, "is_cancelled"], 2)), BL, NF)),
     "assoc_corr_strong": (assoc_corr_strong, q(
-        "select * from (" + " union all ".join(_corr(x, y) for x, y in combinations(NUMERIC, 2)) + ") where abs(r) > 0.5", BL, NF)),
+        "select * from (" + " union all ".join(_corr(x, y) for x, y in combinations([*NUMERIC, "is_cancelled"], 2)) + ") where abs(r) > 0.5", BL, NF)),
     "assoc_corr_target": (assoc_corr_target, q(" union all ".join(
         f"select '{c}' as feature, {r(f'corr({c}, is_cancelled)')} as correlation, {r(f'abs(corr({c}, is_cancelled))')} as abs_correlation from nf"
         for c in NUMERIC), BL, NF)),
@@ -419,14 +422,14 @@ QUERIES = {
         from g cross join (select unnest(['avg_vtat', 'is_cancelled']) as f)""", BL)),
     "assoc_mi_binned": (assoc_mi_binned, q(
         f"select feature, {r('m', 7)} as mutual_information from ("
-        + " union all ".join(_mi(f) for f in ("avg_vtat_imputed", "hour", "month", "is_weekend")) + ")", BL, NF)),
+        + " union all ".join(_mi(f) for f in NUMERIC) + ")", BL, NF)),
     "assoc_mi_knn": (assoc_mi_knn, q(_knn("nf", NUMERIC), BL, NF)),
     "assoc_mi_knn_value": (assoc_mi_knn_value, q(_knn("ev", ["value"]), EV)),
     "assoc_missing_spread": (assoc_missing_spread, q(
         " union all ".join(_spread(n, SPREAD_SQL[n]) for n in SPREAD), BK)),
     "assoc_logodds": (assoc_logodds, q(
         f"select feature, bin, n, {r('p')} as rate, case when p > 0 then {r('ln(p / (1 - p + 1e-10))')} end as log_odds from ("
-        + " union all ".join(_logodds(f) for f in ("avg_vtat_imputed", "hour", "month")) + ")", BL, NF)),
+        + " union all ".join(_logodds(f) for f in FEATURES) + ")", FT, "ftr as (select * from ft where split = 'train')")),
     "pivot_rates": (pivot_rates, q("select vtat_zone, " + ", ".join(
         r(f"avg(is_cancelled) filter (where vehicle_type = '{p}')") + f" as p{i}" for i, p in enumerate(PRIORITIES, 1))
         + f", count(*) filter (where coalesce(vehicle_type not in ({', '.join(repr(p) for p in PRIORITIES)}), true)) as n_unlisted"

@@ -1,5 +1,5 @@
-"""Queries that fit models on the silver features, plus monitoring. Model sizes are kept small here; the
-operators' defaults are the full ones."""
+"""Queries that fit models on the silver features, plus monitoring. Logistic models, folds and grid have their full sizes;
+the trees of the forest and of boosting are fewer here than the operators' defaults."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fareflow.catalog.features import chain_features
-from fareflow.catalog.sql import BL, q, r
+from fareflow.catalog.sql import BL, FT, q, r
 from fareflow.functions.columns import rounded
 from fareflow.plans import dashboard
 from fareflow.plans import models as m
 from fareflow.plans.chain import materialised_silver, train_val
 from fareflow.scale import ensure_checkpoint_dir
-from fareflow.schemas import TARGET
+from fareflow.schemas import FEATURES, TARGET
 from fareflow.sources.tables import bookings, table
 from fareflow.streaming.jobs import drift_table, windowed_rates
 
@@ -24,9 +24,9 @@ KEY = ["booking_id", "date", "time"]
 
 
 def silver_rows(spark, sf):
-    """Silver features with their identity columns; rows without a bucket cannot be assembled."""
+    """Silver features with their identity columns, every row: a wait outside the buckets gets a bucket of its own."""
     features, _ = chain_features(spark, sf)
-    return materialised_silver(features.where("vtat_bucket is not null"), *KEY)
+    return materialised_silver(m.with_every_bucket(features), *KEY)
 
 
 def _train(df):
@@ -38,7 +38,7 @@ def _val(df):
 
 
 def _logistic(df):
-    return m.fit_logistic(_train(df), max_iter=40)
+    return m.fit_logistic(_train(df))
 
 
 def _forest(df):
@@ -74,11 +74,11 @@ def ml_gbt_b(spark, sf):
 
 
 def ml_cv(spark, sf):
-    return m.cross_validate(train_val(silver_rows(spark, sf)), KEY, 0.45, folds=3, max_iter=20)
+    return m.cross_validate(train_val(silver_rows(spark, sf)), KEY, 0.45)
 
 
 def ml_grid(spark, sf):
-    results, _ = m.grid_search(_train(silver_rows(spark, sf)), KEY, cs=(0.01, 1), penalties=("l2",), folds=2, max_iter=20)
+    results, _ = m.grid_search(_train(silver_rows(spark, sf)), KEY)
     return results
 
 
@@ -104,11 +104,12 @@ def dash_importance(spark, sf):
 
 
 def ml_standardise(spark, sf):
-    df = bookings(spark, sf, "booking_id", "date", "avg_vtat", "is_cancelled").dropna(subset=["avg_vtat"])
-    packed = VectorAssembler(inputCols=["avg_vtat", "is_cancelled"], outputCol="v").transform(df)
-    scaled = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(packed).transform(packed)
+    """All model features of all rows, by the means and deviations of the training rows."""
+    df = silver_rows(spark, sf)
+    packed = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(df)
+    scaled = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(_train(packed)).transform(packed)
     z = vector_to_array("z")
-    return scaled.select("booking_id", "date", rounded(z[0]).alias("z_vtat"), rounded(z[1]).alias("z_target"))
+    return scaled.select("booking_id", "split", *[rounded(z[i], 5).alias(f"z_{c}") for i, c in enumerate(FEATURES)])
 
 
 def drift(spark, sf):
@@ -148,10 +149,10 @@ QUERIES = {
     "report_model_feature_importance": (ml_importance, None),
     "dash_importance_ranking": (dash_importance, None),
     "ml_standardise": (ml_standardise, q(f"""
-        , s as (select avg(avg_vtat) as a, stddev_samp(avg_vtat) as b, avg(is_cancelled) as c, stddev_samp(is_cancelled) as d
-                from bk where avg_vtat is not null)
-        select booking_id, date, {r("(avg_vtat - a) / b")} as z_vtat, {r("(is_cancelled - c) / d")} as z_target
-        from bk cross join s where avg_vtat is not null""", BL)),
+        , fm as (select booking_id, split, {", ".join(f"coalesce({c}, -1) as {c}" if c == "vtat_bucket" else c for c in FEATURES)} from ft),
+        s as (select {", ".join(f"avg({c}) as a_{c}, stddev_samp({c}) as d_{c}" for c in FEATURES)} from fm where split = 'train')
+        select booking_id, split, {", ".join(f"{r(f'({c} - a_{c}) / d_{c}', 5)} as z_{c}" for c in FEATURES)}
+        from fm cross join s""", FT)),
     "drift_psi": (drift, q(f"""
         , c as (select split, {_BIN} as b, count(*) as n from bk group by 1, 2),
         s as (select split, sum(n) as size from c group by 1),

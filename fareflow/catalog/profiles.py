@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fareflow.catalog.associations import NF, NUMERIC, numeric_frame
 from fareflow.catalog.sql import BK, BL, q, r
 from fareflow.functions.columns import rounded
 from fareflow.operators import counts, profile, series
@@ -58,7 +59,8 @@ def profile_outliers(spark, sf):
 
 
 def low_variance(spark, sf):
-    v = profile.low_variance(table(spark, sf, "lineitem"), NUMBERS)
+    """The numeric features of the multivariate checks."""
+    v = profile.low_variance(numeric_frame(spark, sf), NUMERIC)
     return v.select("column", rounded("variance", 4).alias("variance"), "is_low")
 
 
@@ -149,9 +151,9 @@ QUERIES = {
                count(*) filter (where value > hi) as n_above, count(value) as n,
                {r("100.0 * count(*) filter (where value < lo or value > hi) / count(value)")} as pct_outliers
         from events cross join f"""),
-    "low_variance": (low_variance, " union all ".join(
-        f"""select '{c}' as "column", {r(f"var_samp({c})", 4)} as variance, (var_samp({c}) < 0.01)::int as is_low from lineitem"""
-        for c in NUMBERS)),
+    "low_variance": (low_variance, q(" union all ".join(
+        f"""select '{c}' as "column", {r(f"var_samp({c})", 4)} as variance, (var_samp({c}) < 0.01)::int as is_low from nf"""
+        for c in NUMERIC), BL, NF)),
     "class_balance": (class_balance, f"""
         with z as (select count(*) filter (where l_returnflag <> 'R') as a, count(*) filter (where l_returnflag = 'R') as b from lineitem)
         select a as n_negative, b as n_positive, a + b as n_rows, {r("b / (a + b)")} as positive_share,

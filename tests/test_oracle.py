@@ -6,6 +6,8 @@ from fareflow.catalog import all_oracles, all_queries
 from tests.compare import compare, duck
 
 QUERIES, ORACLES = all_queries(), all_oracles()
+#: Right results without rows on the smallest tables.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_duckdb(spark, con, sf, name):
     problem, _ = compare(spark, con, name, QUERIES[name], ORACLES[name], sf)
-    assert problem in (None, "empty"), problem
+    assert problem is None or (problem == "empty" and name in EMPTY), problem
 
 
 @pytest.mark.parametrize("name", ["ml_coefficients"])

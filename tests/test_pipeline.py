@@ -128,9 +128,13 @@ def test_cross_validation_and_grid(spark, signal):
     assert results.count() == 4 and results.where("rank = 1").count() >= 1 and best is not None
 
 
-def test_folds_are_near_stratified(signal):
-    per = signal.groupBy(models.fold_of(["booking_id"]).alias("fold")).agg(F.avg(TARGET).alias("m"), F.count("*").alias("n")).collect()
-    assert len(per) == 5 and max(r.m for r in per) - min(r.m for r in per) < 0.1
+def test_folds_are_stratified(signal):
+    folded = models.stratified_folds(signal, ["booking_id"])
+    sizes = {}
+    for row in folded.groupBy(TARGET, "fold").count().collect():
+        sizes.setdefault(row[TARGET], []).append(row["count"])
+    assert all(len(n) == 5 and max(n) - min(n) <= 1 for n in sizes.values())
+    assert sum(map(sum, sizes.values())) == signal.count() and set(folded.columns) == {*signal.columns, "fold"}
 
 
 def test_reports_are_complete(spark, sf, fitted, tmp_path):

@@ -1,6 +1,7 @@
 """Statistics against brute force in numpy/pandas, published tables and pyspark.ml."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,17 @@ def test_fisher_equals_enumeration():
         assert pvalues.fisher_two_sided(a_, b, c, d) == pytest.approx(want, abs=1e-10)
 
 
+def test_fisher_far_from_the_mode():
+    def exact(a, b, c, d):
+        r1, c1, n = a + b, a + c, a + b + c + d
+        ways = [math.comb(r1, k) * math.comb(n - r1, c1 - k) for k in range(max(0, r1 + c1 - n), min(r1, c1) + 1)]
+        own = math.comb(r1, a) * math.comb(n - r1, c1 - a)
+        return float(Fraction(sum(w for w in ways if w <= own), math.comb(n, c1)))
+
+    for cells in ((51, 0, 0, 10_000), (0, 10_000, 51, 0), (60, 2, 1, 9_000), (400, 100, 100, 400)):
+        assert pvalues.fisher_two_sided(*cells) == pytest.approx(exact(*cells), rel=1e-7)
+
+
 def test_fisher_large_counts():
     p = pvalues.fisher_two_sided(500_000_100, 499_999_900, 499_999_900, 500_000_100)
     z = (500_000_100 - 5e8) / math.sqrt(2e9 / 16)
