@@ -2,8 +2,11 @@
 
 Each pass hashes every vector by the signs of random projections; the bits, one after another, are a key by which all vectors
 are ordered, so near vectors stand near one another. Each vector is compared with a bounded window of neighbours, verified
-pairs are kept, and the passes' pairs are united. The number of passes follows from the number of vectors and the wished
-recall at the threshold (see ``passes_for``). Pairs found are kept as spanning stars: a component needs no more.
+pairs are kept, and the passes' pairs are united. Where more vectors than a window share a key's leading bits, the window does
+not hold them all: such groups are counted and all pairs of theirs that are not connected yet are compared in blocks. So a pass
+compares every two vectors that agree in these bits, however dense a part of the space is, and the number of passes follows from
+that alone (see ``passes_for``). Pairs found are kept as spanning stars: a component needs no more. A dense cone of vectors that
+don't link costs work that grows with the square of its vectors.
 
 The window bounds what a pass compares, not what counts as a link: links inside each component are then counted exactly. Each
 vector's angle to its component's centre settles most of them: two angles that sum to less than the threshold's angle prove a
@@ -34,16 +37,22 @@ BITS = 60
 RECALL = 0.999
 ROWS_PER_SLICE = 40_000
 BLOCK = 1_024
+#: Vectors on each side of one comparison inside a crowded group.
+CROWD_BLOCK = 4_096
+
+
+def prefix_bits(n: int, window: int = WINDOW) -> int:
+    """Leading bits of a key whose groups are compared whole: as many as leave a window of evenly spread vectors."""
+    return min(BITS, max(1, math.ceil(math.log2(max(2.0, n / window)))))
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair exactly at the threshold has been in one window with probability ``recall``.
+    """Passes after which a pair exactly at the threshold has been compared with probability ``recall``.
 
-    Two vectors at an angle a agree in one sign bit with probability 1 - a / pi; they share a window for sure once they
-    agree in so many leading bits that fewer vectors than a window share the prefix.
+    Two vectors at an angle a agree in one sign bit with probability 1 - a / pi; they are compared for sure once they
+    agree in the leading bits, in a window or, where the bits' group is larger than one, in its blocks.
     """
-    bits = max(1.0, math.log2(max(2.0, n / window)))
-    share = (1 - math.acos(threshold) / math.pi) ** bits
+    share = (1 - math.acos(threshold) / math.pi) ** prefix_bits(n, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - share)))
 
 
@@ -165,7 +174,86 @@ def found_pairs(classes: DataFrame, size: int, count: int, seed: int = 17, thres
     found = checkpointed(rows.repartitionByRange(slices, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
                          .mapInArrow(windows, schema))
     crossing = found.where(F.col("slice").isNotNull()).groupBy("slice").applyInPandas(across, "a bigint, b bigint")
-    return found.where(F.col("a").isNotNull()).select("a", "b").unionByName(crossing).distinct()
+    pairs = checkpointed(found.where(F.col("a").isNotNull()).select("a", "b").unionByName(crossing).distinct())
+    return pairs.unionByName(crowded_pairs(classes, pairs, size, count, seed, threshold, window)).distinct()
+
+
+def crowded_pairs(classes: DataFrame, pairs: DataFrame, size: int, count: int, seed: int, threshold: float, window: int) -> DataFrame:
+    """(a, b) that join components of ``pairs``: all pairs inside groups of leading bits that are larger than a window.
+
+    Members of a group's largest component don't ask: they are connected already. Members that ask are dealt to blocks, and
+    each block is compared with each block of the whole group.
+    """
+    passes, bits = passes_for(count, threshold, window), prefix_bits(count, window)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = planes_of(passes, size, seed)[:, :, :bits]
+        weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+        for b in batches:
+            v = matrix(b.column("vec"), size)
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            for p in range(passes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(v), p, np.int32)), pa.array(((v @ planes[p]) > 0) @ weights), b.column("rep")],
+                    names=["pass", "prefix", "rep"])
+
+    def joined(left: list[tuple], right: list[tuple]) -> np.ndarray:
+        """Distinct pairs of components that a block of asking vectors and a block of the group link."""
+        (a, la), (b, lb) = ((np.concatenate([x[0] for x in side]), np.concatenate([x[1] for x in side])) for side in (left, right))
+        out = []
+        for at in range(0, len(a), BLOCK):
+            i, j = np.nonzero(a[at:at + BLOCK] @ b.T >= threshold)
+            two = np.stack([la[at + i], lb[j]], 1)
+            out.append(np.unique(two[two[:, 0] != two[:, 1]], axis=0))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by job; no more than one job, two blocks, is held."""
+        key, sides = None, ([], [])
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1] and len(two := joined(*sides)):
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            jobs = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("pass", "prefix", "left", "right", "side")], 1)
+            v, label = matrix(batch.column("vec"), size), np.asarray(batch.column("label"))
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            cuts = [0, *(np.flatnonzero((jobs[1:] != jobs[:-1]).any(1)) + 1).tolist(), len(jobs)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                now = tuple(jobs[lo, :4].tolist())
+                if now != key:
+                    yield from flushed()
+                    key, sides = now, ([], [])
+                sides[int(jobs[lo, 4])].append((v[lo:hi].copy(), label[lo:hi].copy()))
+        yield from flushed()
+
+    of_size = classes.where(F.size("vec") == size).select("rep", "vec")
+    labels = components(pairs)
+    placed = checkpointed(of_size.mapInArrow(prefixes, "pass int, prefix bigint, rep bigint")
+                          .join(labels, F.col("rep") == F.col("node"), "left")
+                          .select("pass", "prefix", "rep", F.coalesce("component", "rep").alias("label")))
+    groups = (placed.groupBy("pass", "prefix", "label").agg(F.count("*").alias("c")).groupBy("pass", "prefix")
+              .agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"))
+              .where((F.col("n") > window + 1) & (F.col("top.c") < F.col("n"))))
+    groups = checkpointed(groups.select("pass", "prefix", "n", (F.col("n") - F.col("top.c")).alias("asking"), F.col("top.label").alias("lead"))
+                          .withColumn("lefts", F.ceil(F.col("asking") / CROWD_BLOCK).cast("int"))
+                          .withColumn("rights", F.ceil(F.col("n") / CROWD_BLOCK).cast("int")))
+    total = groups.agg(F.sum(F.col("asking") * F.col("rights") + F.col("n") * F.col("lefts"))).first()[0]
+    if not total:
+        return pairs.where("false")
+    rows = placed.join(groups, ["pass", "prefix"]).join(of_size, "rep")
+    job = ["pass", "prefix", "left", "right", "side"]
+    asking = rows.where("label <> lead").select(
+        "pass", "prefix", F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int").alias("left"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(0).alias("side"), "label", "vec")
+    answering = rows.select(
+        "pass", "prefix", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"),
+        F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int").alias("right"), F.lit(1).alias("side"), "label", "vec")
+    return (asking.unionByName(answering).repartition(max(1, -(-total // ROWS_PER_SLICE)), *job[:4]).sortWithinPartitions(*job)
+            .mapInArrow(compared, "a bigint, b bigint"))
 
 
 def link_counts(members: DataFrame, size: int, threshold: float = THRESHOLD) -> DataFrame:

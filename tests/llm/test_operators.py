@@ -124,6 +124,32 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicates(table.where("vec_id < 6")).count() == 5
 
 
+def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark):
+    rng = np.random.default_rng(11)
+
+    def across(n):
+        r = rng.standard_normal((n, 64))
+        r[:, 0] = 0
+        return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    centre = np.eye(64)[0]
+    r = across(2000)
+    side = across(60)
+    side -= (side * r[:60]).sum(1, keepdims=True) * r[:60]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.96, (60, 1))
+    share = (cosine - 0.9) / 0.1
+    pairs = np.sqrt(0.9) * centre + np.sqrt(0.1) * (share * r[:60] + np.sqrt(1 - share**2) * side)
+    x = np.concatenate([np.sqrt(0.9) * centre + np.sqrt(0.1) * r, pairs, rng.standard_normal((4000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.95).sum(1) - 1
+    assert (linked[2000:2060] > 0).all()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table).collect()}
+    assert sum(got[i] < n for i, n in enumerate(linked.tolist())) <= 2
+    assert not any(got[i] > n for i, n in enumerate(linked.tolist()))
+
+
 def test_more_vectors_take_more_passes():
     assert embeddings.passes_for(10**3) < embeddings.passes_for(10**6) < embeddings.passes_for(10**9)
 
