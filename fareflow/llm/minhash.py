@@ -1,9 +1,10 @@
 """Near-dedup by ProbMinHash signatures, banding and exact verification.
 
-Shingles of five words weigh 1 + ln(their count) in a document. ProbMinHash draws, for each shingle, arrivals of a Poisson
+Distinct shingles of five words weigh alike, however often a document repeats them, as they do in the verified similarity.
+ProbMinHash draws, for each shingle, arrivals of a Poisson
 process whose rate is the weight; each arrival falls into a random slot, a slot keeps the shingle that came first, and a
-document stops as soon as no further arrival can be first anywhere. Two documents agree in a slot with the probability
-Jaccard similarity of their weighted shingles. Slots are banded; documents that share a band meet in a star, and the stars
+document stops as soon as no further arrival can be first anywhere. With equal weights two documents agree in a slot with the
+Jaccard similarity of their distinct shingles. Slots are banded; documents that share a band meet in a star, and the stars
 form candidate groups.
 
 Verification is exact: inside a candidate group documents are linked if the Jaccard similarity of their distinct shingles
@@ -40,20 +41,19 @@ FRONTIER = 256
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, shingle) with counts as weights are left to ``weighted``; here every shingle and its document."""
+    """Every shingle and its document; ``weighted`` makes them distinct."""
     h = words.hashes()
     inside = whole(words.doc, SHINGLE)
     return words.doc[: len(inside)][inside], windows(h, SHINGLE)[inside]
 
 
 def weighted(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each document, sorted, with weight 1 + ln(count)."""
+    """Distinct shingles of each document, sorted, each with weight 1."""
     order = np.lexsort((shingle, doc))
     doc, shingle = doc[order], shingle[order]
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
-    at = np.flatnonzero(fresh)
-    return doc[at], shingle[at], 1 + np.log(np.diff(np.append(at, len(doc))))
+    return doc[fresh], shingle[fresh], np.ones(int(fresh.sum()))
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:

@@ -280,6 +280,18 @@ def test_minhash_matches_brute_force(docs, empty, texts, one_task):
     assert minhash.near_duplicate_classes(empty).count() == 0
 
 
+def test_minhash_finds_copies_with_a_repeated_footer(spark):
+    rows, expected = [], {}
+    for i in range(20):
+        base = " ".join(f"b{i}x{k}" for k in range(84))
+        footer = " ".join(f"f{i}x{k}" for k in range(16))
+        rows += [(2 * i, base), (2 * i + 1, base + (" " + footer) * 100)]
+        expected |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    assert brute_classes(rows[:4]) == {k: expected[k] for k in range(4)}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == expected
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(5)
     ids = rng.integers(1, 2**63, 300, dtype=np.uint64)
