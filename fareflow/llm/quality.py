@@ -30,8 +30,8 @@ MOST_CONDITIONS = 4
 MOST_RULES = 24
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what features need.
+def base_statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """``docs`` (doc_id, text, and the columns ``carried``) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what features need.
 
     All are expressions over the row's own text; the text itself is dropped. Repeated windows are looked for only where
     two windows of a text are equal: their starts are sorted with the window, and words that the marked starts cover
@@ -40,14 +40,14 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     gap_free = F.length("__t") - F.length(F.regexp_replace("__t", r"[^\x20\x09-\x0D]+", ""))
     lines = F.filter(F.split("__t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\u000b\f\r"))) > 0)
-    split = docs.select("doc_id", text.alias("__t")).select(
-        "doc_id", "__t", F.filter(F.split("__t", GAP), lambda w: w != "").alias("__w"), lines.alias("__l"))
+    split = docs.select("doc_id", *carried, text.alias("__t")).select(
+        "doc_id", *carried, "__t", F.filter(F.split("__t", GAP), lambda w: w != "").alias("__w"), lines.alias("__l"))
     n = F.size("__w")
     keys = F.when(n >= WINDOW, F.transform(
         F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))),
         lambda i: F.xxhash64(F.slice(F.col("__w"), i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     counted = split.select(
-        "doc_id", n.cast("long").alias("n_words"), gap_free.cast("long").alias("word_chars"),
+        "doc_id", *carried, n.cast("long").alias("n_words"), gap_free.cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__t", SYMBOLS, "")).cast("long").alias("n_symbols"),
         F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
@@ -227,8 +227,8 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned rules keep."""
-    statistics = checkpointed(base_statistics(docs.select("doc_id", "text")))
-    rules = learn(statistics, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    out = judged(statistics, rules).where("not kept").select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("__out")), "left_anti").select(*docs.columns)
+    """Rows that the base rule and the learned rules keep, each by its own verdict: a row's columns go with its statistics."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    statistics = checkpointed(base_statistics(rows, "__row"))
+    rules = learn(statistics.drop("__row"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged(statistics, rules).where("kept").select("__row.*")

@@ -350,6 +350,16 @@ def test_quality_rules_separate_and_handle_missing_labels(spark):
     assert all(r["kept"] for r in quality.judged(statistics, []).collect())
 
 
+def test_quality_stage_judges_each_row_by_itself(spark, tmp_path):
+    clean, bad = " ".join(f"word{i}" for i in range(40)), "too short"
+    rows = [(None, clean, "a"), (None, bad, "b"), (7, clean, "c"), (7, bad, "d"), (8, clean, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string")
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = quality.quality_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {rows[0], rows[2], rows[4]} and out.count() == 3
+
+
 # 6 mixing
 def test_targets_share_and_stop():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
