@@ -13,8 +13,8 @@ vector's angle to its component's centre settles most of them: two angles that s
 link. What this leaves open is compared in blocks, both sides of which are bounded; counts are added up, pairs never listed.
 
 Defined results: equal vectors are one entry with a weight, so copies don't fill windows; vectors that are null, zero, or hold
-null or non-finite components link with nothing; a vector of another length than the most frequent one links only with those
-equal to it; a repeated vec_id is two vectors; an empty table stays empty.
+null or non-finite components link with nothing; vectors link with vectors of their own length, the passes run once for each
+length; a repeated vec_id is two vectors; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -65,8 +65,8 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, size)
 
 
-def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(members: vec_id, vec; classes: rep, weight, vec), and the length of the vectors that are compared.
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    """(members: vec_id, vec; classes: rep, weight, vec), and each length with the number of its classes.
 
     ``members`` hold null for vectors that link with nothing. Equal vectors are grouped with map-side combine.
     """
@@ -77,8 +77,8 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     members = vectors.select("vec_id", F.when(good, values).alias("vec"))
     classes = checkpointed(members.where(F.col("vec").isNotNull()).groupBy("vec")
                            .agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    sizes = classes.groupBy(F.size("vec").alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").first()
-    return members, classes, sizes["s"] if sizes else 0
+    sizes = classes.groupBy(F.size("vec").alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()
+    return members, classes, [(r["s"], r["n"]) for r in sizes]
 
 
 def found_pairs(classes: DataFrame, size: int, count: int, seed: int = 17, threshold: float = THRESHOLD,
@@ -170,7 +170,7 @@ def found_pairs(classes: DataFrame, size: int, count: int, seed: int = 17, thres
         return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
     slices = max(1, -(-count * passes // ROWS_PER_SLICE))
-    rows = classes.where(F.size("vec") == size).select("rep", "vec").mapInArrow(keyed, "pass int, key bigint, rep bigint, unit binary")
+    rows = classes.select("rep", "vec").mapInArrow(keyed, "pass int, key bigint, rep bigint, unit binary")
     found = checkpointed(rows.repartitionByRange(slices, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
                          .mapInArrow(windows, schema))
     crossing = found.where(F.col("slice").isNotNull()).groupBy("slice").applyInPandas(across, "a bigint, b bigint")
@@ -230,9 +230,8 @@ def crowded_pairs(classes: DataFrame, pairs: DataFrame, size: int, count: int, s
                 sides[int(jobs[lo, 4])].append((v[lo:hi].copy(), label[lo:hi].copy()))
         yield from flushed()
 
-    of_size = classes.where(F.size("vec") == size).select("rep", "vec")
     labels = components(pairs)
-    placed = checkpointed(of_size.mapInArrow(prefixes, "pass int, prefix bigint, rep bigint")
+    placed = checkpointed(classes.select("rep", "vec").mapInArrow(prefixes, "pass int, prefix bigint, rep bigint")
                           .join(labels, F.col("rep") == F.col("node"), "left")
                           .select("pass", "prefix", "rep", F.coalesce("component", "rep").alias("label")))
     groups = (placed.groupBy("pass", "prefix", "label").agg(F.count("*").alias("c")).groupBy("pass", "prefix")
@@ -244,7 +243,7 @@ def crowded_pairs(classes: DataFrame, pairs: DataFrame, size: int, count: int, s
     total = groups.agg(F.sum(F.col("asking") * F.col("rights") + F.col("n") * F.col("lefts"))).first()[0]
     if not total:
         return pairs.where("false")
-    rows = placed.join(groups, ["pass", "prefix"]).join(of_size, "rep")
+    rows = placed.join(groups, ["pass", "prefix"]).join(classes.select("rep", "vec"), "rep")
     job = ["pass", "prefix", "left", "right", "side"]
     asking = rows.where("label <> lead").select(
         "pass", "prefix", F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int").alias("left"),
@@ -256,10 +255,10 @@ def crowded_pairs(classes: DataFrame, pairs: DataFrame, size: int, count: int, s
             .mapInArrow(compared, "a bigint, b bigint"))
 
 
-def link_counts(members: DataFrame, size: int, threshold: float = THRESHOLD) -> DataFrame:
+def link_counts(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(rep, links): exact weight of the linked classes of each class in its component, itself included.
 
-    ``members``: component, rep, weight, vec. A component's centre is the mean of its unit vectors, summed by blocks.
+    ``members``: component, rep, weight, vec, all of one length. A component's centre is the mean of its unit vectors, summed by blocks.
     """
     limit, slack = math.acos(threshold), 1e-7
 
@@ -316,13 +315,16 @@ def link_counts(members: DataFrame, size: int, threshold: float = THRESHOLD) ->
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, seed: int = 17) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    members, classes, size = distinct_vectors(rows)
-    count = classes.count()
-    if count:
-        pairs = found_pairs(classes, size, count, seed, threshold, window)
-        groups = checkpointed(components(pairs))
-        linked = classes.join(groups, F.col("rep") == F.col("node")).select("component", "rep", "weight", "vec")
-        links = link_counts(checkpointed(linked), size, threshold)
+    members, classes, sizes = distinct_vectors(rows)
+    if sizes:
+        groups, links = (literal_table(rows.sparkSession, [], f"{a} bigint, {b} bigint") for a, b in (("node", "component"), ("rep", "links")))
+        for size, count in sizes:
+            if count < 2:
+                continue
+            of_size = classes.where(F.size("vec") == size)
+            own = checkpointed(components(found_pairs(of_size, size, count, seed, threshold, window)))
+            linked = of_size.join(own, F.col("rep") == F.col("node")).select("component", "rep", "weight", "vec")
+            groups, links = groups.unionByName(own), links.unionByName(link_counts(checkpointed(linked), threshold))
         known = classes.join(groups, F.col("rep") == F.col("node"), "left").join(links, "rep", "left").select(
             "vec", F.coalesce("links", "weight").alias("links"), F.coalesce("component", "rep").alias("component"))
     else:

@@ -150,6 +150,20 @@ def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark):
     assert not any(got[i] > n for i, n in enumerate(linked.tolist()))
 
 
+def test_embeddings_of_each_length_are_compared(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, n in ((8, 40), (12, 20)):
+        for v in rng.standard_normal((n, size)):
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, (v + 0.01 * rng.standard_normal(size)).tolist())]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    for size in (8, 12):
+        own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if len(v) == size]
+        for i, v in own:
+            assert got[i]["n_links"] == sum(float(v @ w) >= 0.95 for j, w in own if j != i) > 0
+            assert got[i]["component_id"] <= i - i % 2
+
+
 def test_more_vectors_take_more_passes():
     assert embeddings.passes_for(10**3) < embeddings.passes_for(10**6) < embeddings.passes_for(10**9)
 
