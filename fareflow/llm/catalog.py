@@ -8,6 +8,7 @@ from fareflow.llm.license import op7_license_scan
 from fareflow.llm.minhash import op4_minhash_dedup
 from fareflow.llm.mixing import op6_mixing
 from fareflow.llm.packing import op9_best_fit_packing
+from fareflow.llm.prefix_trie import op13_prefix_trie
 from fareflow.llm.quality import op5_quality_rules
 from fareflow.llm.sharding import op10_sharding
 from fareflow.llm.substring import op2_substring_dedup
@@ -69,6 +70,38 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || t
 from f group by conv_id
 """
 
+OP13 = """
+with recursive
+t as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text,
+  row_number() over (partition by conv_id order by turn asc nulls first, coalesce(role, ''), coalesce(text, '')) pos
+  from conversations where conv_id is not null),
+ids as (select distinct c, cast(c as varchar) s from t),
+crc(c, s, j, v) as (
+  select c, s, 0, 4294967295::bigint from ids
+  union all
+  select c, s, j + 1, xor(b >> 1, case when (b & 1) = 1 then 3988292384 else 0 end)
+  from (select c, s, j, case when j % 8 = 0 then xor(v, ascii(substr(s, j // 8 + 1, 1))) else v end b
+        from crc where j < 8 * length(s))),
+h as (select c, xor(v, 4294967295) % 9 h from crc where j = 8 * length(s)),
+rb as (select h.c, t.pos, t.role, t.text from h join t on t.c = h.c - h.c % 5 and t.pos <= h.h
+  union all select t.c, t.pos, t.role, t.text from t join h using (c) where t.pos > h.h),
+conv as (select h.c, list(struct_pack(role := x.role, text := x.text) order by x.pos) filter (where x.c is not null) lst
+  from h left join rb x using (c) group by h.c),
+mem as (select c, coalesce(len(lst), 0) n, unnest(range(0, coalesce(len(lst), 0) + 1)) d, lst from conv),
+pre as (select c, n, d, case when d = 0 then null else lst[1:d] end p, case when d = 0 then 0 else strlen(lst[d].text) end b from mem),
+nodes as (select p, min(d) depth, min(c) conv_id, count(*) n_convs, min(b) last_bytes,
+  sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where d = n), '')) ends_sha256 from pre group by p),
+kids as (select c.p, count(*) n_children from nodes c join nodes k on k.depth = c.depth + 1
+  and (c.depth = 0 or k.p[1:c.depth] = c.p) group by c.p),
+full_ as (select n.*, coalesce(k.n_children, 0) n_children from nodes n left join kids k on k.p is not distinct from n.p),
+roll as (select a.p, sum(case when b.n_children = 0 then 1 else 0 end) n_leaves, sum((b.n_convs - 1) * b.last_bytes) saved_tokens
+  from full_ a join full_ b on b.depth >= a.depth and (a.depth = 0 or b.p[1:a.depth] = a.p) group by a.p)
+select f.conv_id, f.depth::bigint depth, q.conv_id parent_conv_id, f.n_convs::bigint n_convs, f.n_children::bigint n_children,
+  r.n_leaves::bigint n_leaves, r.saved_tokens::bigint saved_tokens, f.ends_sha256
+from full_ f join roll r on r.p is not distinct from f.p
+left join full_ q on f.depth > 0 and q.depth = f.depth - 1 and (q.depth = 0 or q.p = f.p[1:f.depth - 1])
+"""
+
 QUERIES = {
     "op1_embedding_dedup": (op1_embedding_dedup, OP1),
     "op2_substring_dedup": (op2_substring_dedup, OP2),
@@ -80,4 +113,5 @@ QUERIES = {
     "op8_chat_formatting": (op8_chat_formatting, OP8),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_sharding": (op10_sharding, None),
+    "op13_prefix_trie": (op13_prefix_trie, OP13),
 }
