@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fareflow.llm.chat import op8_chat_formatting
+from fareflow.llm.collocations import op12_collocations
 from fareflow.llm.embeddings import op1_embedding_dedup
 from fareflow.llm.license import op7_license_scan
 from fareflow.llm.minhash import op4_minhash_dedup
@@ -70,6 +71,31 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || t
 from f group by conv_id
 """
 
+OP12 = r"""
+with d as (select coalesce(lang, 'und') lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0B\x0C\r]')) piece from d),
+pw as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') w from p),
+s as (select lang, w, unnest(range(1, len(w) + 1)) i from pw),
+g as (select lang, w[i:i + m - 1] ph from s, (select unnest(range(1, 6)) m) ms where i + m - 1 <= len(w)),
+f as (select lang, ph, count(*) f from g group by lang, ph),
+n as (select lang, sum(len(w)) n from pw group by lang),
+c as (select lang, ph, f a from f where len(ph) >= 2 and f >= 100),
+k as (select lang, ph, a, unnest(range(1, len(ph))) k from c),
+cuts as (select k.lang, k.ph, k.a, k.k, fl.f l, fr.f r from k
+  join f fl on fl.lang = k.lang and fl.ph = k.ph[1:k.k] join f fr on fr.lang = k.lang and fr.ph = k.ph[k.k + 1:]),
+scored as (select cuts.*, n.n, (1000::hugeint * a * n) // (l::hugeint * r) score from cuts join n using (lang)),
+best as (select * from (select *, row_number() over (partition by lang, ph order by score, k) o from scored) where o = 1),
+sub as (select lang, a outer_a, ph, unnest(range(2, len(ph))) ln from c where len(ph) >= 3),
+subs as (select lang, outer_a, ph[st:st + ln - 1] ph from (select *, unnest(range(1, len(ph) - ln + 2)) st from sub)),
+gone as (select distinct c.lang, c.ph from c join subs s on s.lang = c.lang and s.ph = c.ph and s.outer_a >= c.a),
+kept as (select b.* from best b where not exists (select 1 from gone g where g.lang = b.lang and g.ph = b.ph)),
+ranked as (select lang, array_to_string(ph, ' ') phrase, a, l, r, n, score,
+  row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) rank from kept)
+select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from ranked where rank <= 2000
+"""
+
 OP13 = """
 with recursive
 t as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text,
@@ -113,5 +139,6 @@ QUERIES = {
     "op8_chat_formatting": (op8_chat_formatting, OP8),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_sharding": (op10_sharding, None),
+    "op12_collocations": (op12_collocations, OP12),
     "op13_prefix_trie": (op13_prefix_trie, OP13),
 }
