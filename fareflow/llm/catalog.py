@@ -6,6 +6,7 @@ from fareflow.llm.chat import op8_chat_formatting
 from fareflow.llm.collocations import op12_collocations
 from fareflow.llm.embeddings import op1_embedding_dedup
 from fareflow.llm.license import op7_license_scan
+from fareflow.llm.lm_score import op11_lm_scoring
 from fareflow.llm.minhash import op4_minhash_dedup
 from fareflow.llm.mixing import op6_mixing
 from fareflow.llm.packing import op9_best_fit_packing
@@ -139,6 +140,7 @@ QUERIES = {
     "op8_chat_formatting": (op8_chat_formatting, OP8),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_lm_scoring": (op11_lm_scoring, None),
     "op12_collocations": (op12_collocations, OP12),
     "op13_prefix_trie": (op13_prefix_trie, OP13),
 }
