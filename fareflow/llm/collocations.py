@@ -45,22 +45,41 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def pieces_of(docs: DataFrame) -> DataFrame:
-    """(lang, pieces): each document's pieces as arrays of words."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
-    split = F.transform(F.split(text, PIECE_BREAK), lambda p: F.filter(F.split(p, WORD_GAP), lambda w: w != ""))
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), split.alias("pieces"))
+    """(lang, text): the columns the tasks read, a null ``lang`` as ``und``."""
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                       F.col("text").cast("string").alias("text"))
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Lang of each word, the words, and each word's piece number (distinct across documents)."""
-    pieces = batch.column(1)
+    """Row of each word, the words, and each word's piece number (distinct across rows), by Arrow's own kernels."""
+    text = pc.ascii_lower(pc.fill_null(batch.column(1), ""))
+    pieces = pc.split_pattern_regex(text, PIECE_BREAK)
     inner = pc.list_flatten(pieces)
-    words = pc.list_flatten(inner)
-    piece_len = pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False)
-    doc_pieces = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    split = pc.split_pattern_regex(inner, WORD_GAP)
+    words = pc.list_flatten(split)
+    piece_len = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    doc_pieces = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
     piece_doc = np.repeat(np.arange(len(doc_pieces)), doc_pieces)
     piece_no = np.repeat(np.arange(len(piece_len)), piece_len)
-    return piece_doc[piece_no], words, piece_no
+    real = pc.not_equal(words, "")
+    keep = real.to_numpy(zero_copy_only=False)
+    return piece_doc[piece_no][keep], words.filter(real), piece_no[keep]
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: (lang, word, n) for the words of its rows."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        word_doc, words, _ = _flat(batch)
+        langs = np.array(batch.column(0).to_pylist(), object)
+        for lang in set(langs.tolist()):
+            mine = words.filter(pa.array((langs == lang)[word_doc] if len(word_doc) else np.zeros(0, bool)))
+            counted = pc.value_counts(mine)
+            if len(counted):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counted), pa.string()), counted.field("values"),
+                     counted.field("counts").cast(pa.int64())], names=["lang", "word", "n"])
 
 
 def _pair_counter(words_by_lang: dict, levels_by_lang: dict, target: int):
@@ -127,8 +146,8 @@ def collocations(spark: SparkSession, docs: DataFrame, min_count: int = MIN_COUN
                  top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score for each language's ``top`` phrases."""
     split = pieces_of(docs)
-    counts = checkpointed(split.select("lang", F.explode(F.flatten("pieces")).alias("word"))
-                          .groupBy("lang", "word").agg(F.count("*").alias("f")))
+    counts = checkpointed(split.mapInArrow(_word_counts, "lang string, word string, n long")
+                          .groupBy("lang", "word").agg(F.sum("n").alias("f")))
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     by_freq = Window.partitionBy("lang").orderBy(F.desc("f"), "word")
     vocab = counts.where(F.col("f") >= min_count).withColumn("id", F.row_number().over(by_freq) - 1)
@@ -154,8 +173,8 @@ def collocations(spark: SparkSession, docs: DataFrame, min_count: int = MIN_COUN
 
         pairs = (split.mapInArrow(counted, "lang string, prefix long, last long, n long")
                  .groupBy("lang", "prefix", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
-        ranked = pairs.withColumn(
-            "pid", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "prefix", "last")) - 1)
+        ranked = checkpointed(pairs.withColumn(
+            "pid", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "prefix", "last")) - 1))
         level = _sent(ranked.select("lang", "prefix", "last", "pid"), f"phrases of {m} words")
         if shared_levels is not None:
             shared_levels.unpersist()
