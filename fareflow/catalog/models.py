@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fareflow.catalog.features import chain_features
 from fareflow.catalog.sql import BL, FT, q, r
 from fareflow.functions.columns import rounded
-from fareflow.plans import dashboard
+from fareflow.plans import boosting, dashboard
 from fareflow.plans import models as m
 from fareflow.plans.chain import materialised_silver, train_val
 from fareflow.scale import ensure_checkpoint_dir
@@ -21,6 +21,8 @@ from fareflow.sources.tables import bookings, table
 from fareflow.streaming.jobs import drift_table, windowed_rates
 
 KEY = ["booking_id", "date", "time"]
+#: The second booster differs by row sampling and seed.
+_B = {"subsample": 0.8, "seed": 7}
 
 
 def silver_rows(spark, sf):
@@ -45,8 +47,23 @@ def _forest(df):
     return m.fit_forest(_train(df), trees=10, depth=6)
 
 
-def _boosting(df, **more):
-    return m.fit_boosting(_train(df), _val(df), rounds=6, depth=4, **more)
+def _boosting(df, metric="pr_area", **more):
+    """Boosting A stops on the validation PR area, B on average precision; both with 20 rounds of patience."""
+    fitted = m.fit_boosting(_train(df), rounds=boosting.ROUNDS, depth=boosting.DEPTH, rate=boosting.RATE, **more)
+    model, _, _ = boosting.early_stopped(fitted, _val(df), metric)
+    return model
+
+
+def ml_gbt_rounds(spark, sf):
+    """Validation PR area and average precision after every round of both boosters, and the round each keeps."""
+    df = silver_rows(spark, sf)
+    parts = []
+    for name, metric, more in (("Boosting A", "pr_area", {}), ("Boosting B", "average_precision", _B)):
+        fitted = m.fit_boosting(_train(df), rounds=boosting.ROUNDS, depth=boosting.DEPTH, rate=boosting.RATE, **more)
+        _, rounds, _ = boosting.early_stopped(fitted, _val(df), metric)
+        parts.append(rounds.withColumns({"model_name": F.lit(name), "metric": F.lit(metric)}))
+    return parts[0].unionByName(parts[1]).select("model_name", "metric", "round", "pr_area", "average_precision",
+                                                 "best_round")
 
 
 def ml_logreg(spark, sf):
@@ -70,7 +87,7 @@ def ml_gbt_a(spark, sf):
 
 def ml_gbt_b(spark, sf):
     df = silver_rows(spark, sf)
-    return m.tuned_evaluation(_boosting(df, subsample=0.8, seed=7), df, "Boosting B")
+    return m.tuned_evaluation(_boosting(df, "average_precision", **_B), df, "Boosting B")
 
 
 def ml_cv(spark, sf):
@@ -92,7 +109,7 @@ def ml_importance(spark, sf):
     parts = [m.importances(spark, _logistic(df), "Logistic Regression", top=10),
              m.importances(spark, _forest(df), "Random Forest", top=10),
              m.importances(spark, _boosting(df), "Boosting A", top=10),
-             m.importances(spark, _boosting(df, subsample=0.8, seed=7), "Boosting B", top=10)]
+             m.importances(spark, _boosting(df, "average_precision", **_B), "Boosting B", top=10)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -142,6 +159,7 @@ QUERIES = {
     "ml_rf": (ml_rf, None),
     "ml_gbt_a": (ml_gbt_a, None),
     "ml_gbt_b": (ml_gbt_b, None),
+    "ml_gbt_rounds": (ml_gbt_rounds, None),
     "ml_cv": (ml_cv, None),
     "ml_grid": (ml_grid, None),
     "ml_scores": (ml_scores, None),
