@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from fareflow.llm import collocations, lm_score, prefix_trie
+from fareflow.llm import collocations, lm_score, prefix_trie, textnum
 from fareflow.llm.catalog import OP12, OP13
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -187,7 +187,7 @@ def test_lm_base_and_rows(spark):
 
 def sequential_score(stream: bytes, bits: int, zeros, ones, start) -> float:
     """The model, one bit at a time: weights change after every CHUNK bits."""
-    b = lm_score._Batch(pa.array([stream.decode()]), bits)
+    b = lm_score._Batch(*textnum.text_bytes(pa.array([stream.decode()])), bits)
     n = 8 * len(stream)
     y, j, slots = b.bits(np.arange(n, dtype=np.int64))
     w = start.copy()
@@ -211,18 +211,77 @@ def sequential_score(stream: bytes, bits: int, zeros, ones, start) -> float:
     return total
 
 
+def lm_tables(batches, bits):
+    """Tables from the count pass of each batch as if each were a task, merged as Spark merges them."""
+    import pandas as pd
+
+    by = defaultdict(list)
+    for batch in batches:
+        for out in lm_score._count_pass(iter([batch]), bits):
+            for block, blob in zip(out.column("block").to_pylist(), out.column("counts").to_pylist()):
+                by[block].append(blob)
+    merged = [(b, lm_score._merged(pd.DataFrame({"block": [b] * len(v), "counts": v}), True)["counts"][0])
+              for b, v in by.items()]
+    return lm_score._tables(merged, bits)
+
+
+def test_lm_merged_counts_halve_alike():
+    import pandas as pd
+
+    counts = np.zeros((2, lm_score.BLOCK_SLOTS), np.uint32)
+    counts[:, 0] = [200_000, 50_000]
+    counts[:, 1] = [3, 7]
+    merged = lm_score._merged(pd.DataFrame({"block": [0, 0], "counts": [lm_score._pack(counts)] * 2}), True)
+    out = lm_score._unpack(merged["counts"][0])
+    assert out[:, 0].tolist() == [65_535, 16_384] and out[:, 1].tolist() == [6, 14]
+
+
+def lm_model(streams, bits):
+    zeros, ones = lm_tables([pa.RecordBatch.from_arrays([pa.array(streams)], names=["stream"])], bits)
+    model = ([lm_score._stretch(z.astype(np.float32), o.astype(np.float32)) for z, o in zip(zeros, ones)],
+             lm_score._confidence(zeros[lm_score._LONG].astype(np.int64) + ones[lm_score._LONG]).astype(np.int8))
+    return zeros, ones, model
+
+
 def test_lm_mixer_matches_sequential():
     rng = random.Random(9)
     words = ["ab", "abc", "b", "ca", "é"]
     streams = ["".join(rng.choice(words) + " " for _ in range(rng.randint(0, 400))) + "\n" for _ in range(5)]
     bits = 16
-    batch = lm_score._Batch(pa.array(streams), bits)
-    counted = pa.Table.from_batches(list(lm_score._count_pass(
-        iter([pa.RecordBatch.from_arrays([pa.array(streams)], names=["stream"])]), bits)))
-    zeros, ones = lm_score._tables(counted, bits)
-    model = ([lm_score._stretch(z.astype(np.float32), o.astype(np.float32)) for z, o in zip(zeros, ones)],
-             lm_score._confidence(zeros[lm_score._LONG].astype(np.int64) + ones[lm_score._LONG]).astype(np.int8))
+    zeros, ones, model = lm_model(streams, bits)
     start = lm_score._start()
-    logs, _ = lm_score._mix(batch, model, start)
+    batch = lm_score._Batch(*textnum.text_bytes(pa.array(streams)), bits)
+    logs = np.zeros(len(streams))
+    lm_score._mix(batch, model, lm_score.Mixer(start, len(streams)), logs)
     for s, got in zip(streams, logs):
         assert got == pytest.approx(sequential_score(s.encode(), bits, zeros, ones, start), rel=1e-4, abs=1e-6)
+
+
+def test_lm_long_streams_in_parts(monkeypatch):
+    """A stream longer than a task's step is read in parts with their context; the scores are those of one piece."""
+    rng = random.Random(4)
+    words = ["ab", "abc", "b", "ca", "é", "x" * 1500]
+    streams = ["".join(rng.choice(words) + " " for _ in range(rng.randint(200, 900))) + "\n" for _ in range(3)]
+    bits = 16
+    zeros, ones, model = lm_model(streams, bits)
+    whole = []
+    for s in streams:
+        b = lm_score._Batch(*textnum.text_bytes(pa.array([s])), bits)
+        out = np.zeros(1)
+        lm_score._mix(b, model, lm_score.Mixer(lm_score._start(), 1), out)
+        whole.append(out[0])
+    monkeypatch.setattr(lm_score, "STEP_BYTES", 512)
+    parted = []
+    batches = iter([pa.RecordBatch.from_arrays([pa.array([s])], names=["stream"]) for s in streams])
+    parts = 0
+    for batch, b, first, last in lm_score._pieces(batches, bits):
+        parts += 1
+        if first:
+            mixer, out = lm_score.Mixer(lm_score._start(), 1), np.zeros(1)
+        lm_score._mix(b, model, mixer, out)
+        if last:
+            parted.append(out[0])
+    assert parts > 10
+    assert parted == pytest.approx(whole, rel=1e-9)
+    tasks = lm_tables([pa.RecordBatch.from_arrays([pa.array([s])], names=["stream"]) for s in streams], bits)
+    assert all(a.tolist() == b.tolist() for a, b in zip(tasks[0] + tasks[1], zeros + ones))
