@@ -229,10 +229,12 @@ def verified_spread(sets: DataFrame, threshold: float, salts: int) -> DataFrame:
             break
         chosen = checkpointed(some(some(open_.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(4096))), "grp", "part"), "grp")
                               .select("grp", "rep"))
-        ones = chosen.join(rows.select("rep", "shingles"), "rep").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        # The keys of the chosen side get names of their own: both sides come from the same checkpoint.
+        ones = chosen.join(rows.select("rep", "shingles"), "rep").select(
+            F.col("grp").alias("chosen_grp"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("chosen_salt"),
+            "rep", "shingles")
         waiting = rows.join(open_.select("rep"), "rep", "left_semi")
-        found = (waiting.groupBy("grp", "salt").cogroup(ones.groupBy("grp", "salt"))
+        found = (waiting.groupBy("grp", "salt").cogroup(ones.groupBy("chosen_grp", "chosen_salt"))
                  .applyInPandas(against, "a bigint, b bigint"))
         links = checkpointed(links.unionByName(found.where("a <> b")).distinct())
         joined = components(links)
