@@ -12,8 +12,9 @@ The window bounds what a pass compares, not what counts as a link: links inside
 vector's angle to its component's centre settles most of them: two angles that sum to less than the threshold's angle prove a
 link. What this leaves open is compared in blocks, both sides of which are bounded; counts are added up, pairs never listed.
 
-Defined results: equal vectors are one entry with a weight, so copies don't fill windows; vectors that are null, zero, or hold
-null or non-finite components link with nothing; vectors link with vectors of their own length, the passes run once for each
+Defined results: vectors are scaled by their largest component first, so finite vectors of any magnitude are compared;
+equal vectors (after that scaling) are one entry with a weight, so copies don't fill windows; vectors that are null, zero,
+or hold null or non-finite components link with nothing, and so does a vector whose vec_id is null (component_id null); vectors link with vectors of their own length, the passes run once for each
 length; a repeated vec_id is two vectors; an empty table stays empty.
 """
 
@@ -71,10 +72,11 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, list[tup
     ``members`` hold null for vectors that link with nothing. Equal vectors are grouped with map-side combine.
     """
     values = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
-    good = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (
-        norm < float("inf"))
-    members = vectors.select("vec_id", F.when(good, values).alias("vec"))
+    finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists(values, lambda x: x != 0)
+    # Scaled by the largest component: cosines stay, and no square of a huge or tiny component leaves the doubles.
+    largest = F.aggregate(values, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    members = vectors.select("vec_id", F.when(good, F.transform(values, lambda x: x / largest)).alias("vec"))
     classes = checkpointed(members.where(F.col("vec").isNotNull()).groupBy("vec")
                            .agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     sizes = classes.groupBy(F.size("vec").alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()

@@ -124,6 +124,17 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicates(table.where("vec_id < 6")).count() == 5
 
 
+def test_embeddings_of_any_magnitude_and_null_ids(spark):
+    rows = [(1, [1e200, 2e200, 3e200]), (2, [1e200, 2e200, 3.01e200]), (3, [1e-200, -1e-200, 5e-201]),
+            (4, [1e-200, -1e-200, 5e-201]), (5, [5e-324, 0.0, 0.0]), (6, [1e-300, 0.0, 0.0]), (None, [1.0, 2.0, 3.0]),
+            (None, [1.0, 2.0, 3.0]), (7, [-1.0, 0.0, 0.0])]
+    got = sorted((r["vec_id"] is None, r["vec_id"], r["n_links"], r["component_id"], r["kept"])
+                 for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(False, 1, 1, 1, True), (False, 2, 1, 1, False), (False, 3, 1, 3, True), (False, 4, 1, 3, False),
+                   (False, 5, 1, 5, True), (False, 6, 1, 5, False), (False, 7, 0, 7, True),
+                   (True, None, 0, None, True), (True, None, 0, None, True)]
+
+
 def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark):
     rng = np.random.default_rng(11)
 
