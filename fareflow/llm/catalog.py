@@ -21,14 +21,16 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP1 = """
 with recursive v as (
   select vec_id, embedding::double[] e from embeddings),
-n as (select vec_id, e, sqrt(list_dot_product(e, e)) l from v
-  where len(e) > 0 and list_count(e) = len(e) and isfinite(list_dot_product(e, e))),
+s as (select vec_id, e, list_max(list_transform(e, lambda x: abs(x))) m from v
+  where vec_id is not null and len(e) > 0 and list_count(e) = len(e) and list_bool_and(list_transform(e, lambda x: isfinite(x)))),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) l from (select vec_id, list_transform(e, lambda x: x / m) e from s where m > 0)),
 link as (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   and a.l > 0 and b.l > 0 and list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.95),
-reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join link l on r.b = l.a),
+reach(a, b) as (select vec_id, vec_id from v where vec_id is not null union select r.a, l.b from reach r join link l on r.b = l.a),
 comp as (select a vec_id, min(b) component_id from reach group by a)
-select v.vec_id, (select count(*) from link where a = v.vec_id)::bigint n_links, component_id, v.vec_id = component_id kept
-from v join comp using (vec_id)
+select v.vec_id, (select count(*) from link where a = v.vec_id)::bigint n_links, component_id,
+  coalesce(v.vec_id = component_id, true) kept
+from v left join comp using (vec_id)
 """
 
 OP2 = f"""

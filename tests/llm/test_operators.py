@@ -135,6 +135,25 @@ def test_embeddings_of_any_magnitude_and_null_ids(spark):
                    (True, None, 0, None, True), (True, None, 0, None, True)]
 
 
+def test_embeddings_sql_agrees_on_edge_vectors(spark, tmp_path):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from fareflow.llm.catalog import OP1
+
+    rows = [(1, [1e200, 2e200, 3e200]), (2, [1e200, 2e200, 3.01e200]), (3, [1e-200, -1e-200, 5e-201]), (4, None),
+            (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 1.0]), (7, [1.0, None, 1.0]), (None, [1.0, 2.0, 3.0]),
+            (8, [1.0, 2.0, 3.0]), (9, [2.0, 4.0, 6.0]), (10, [1.0, 2.0]), (11, [1.0, 2.01])]
+    pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()),
+                             "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path / 'e.parquet'}'")
+    want = sorted(con.execute(f"select vec_id, n_links, component_id, kept from ({OP1})").fetchall(), key=str)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(table).collect()), key=str)
+    assert got == want
+
+
 def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark):
     rng = np.random.default_rng(11)
 
