@@ -7,8 +7,8 @@ is named like one, is the licence of its directory; a file without a licence of
 directory by a join on paths.
 
 Defined results: a null or blank text has no licence of its own; a null path has no directory and inherits nothing; of equally
-similar templates the first by name counts; of several licence files in a directory the most similar, then the first by name;
-repeated rows are scanned alike; an empty table stays empty; texts are read whole.
+similar templates the first by name counts; of several licence files in a directory the most similar, then the first by path;
+each row is judged by its own text: rows with a null or a repeated file id are scanned alike and never share a licence; an empty table stays empty; texts are read whole.
 """
 
 from __future__ import annotations
@@ -147,12 +147,14 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``files``: file (an id), path, text. Directories are joined, not files: each directory looks for its nearest licensed
     ancestor once.
     """
-    files = files.select("file", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    # Each row has a key of its own, so rows with a null or a repeated file id never take each other's licence.
+    files = checkpointed(files.select(F.monotonically_increasing_id().alias("__row"), "file",
+                                      F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")))
     model = Templates(*corpus_frequencies(files))
-    own = checkpointed(own_licenses(files, model, threshold))
+    own = checkpointed(own_licenses(files.select(F.col("__row").alias("file"), "path", "text"), model, threshold))
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_NAME)
     licensed = own.where(F.col("path").isNotNull() & (F.col("whole") | named)).withColumn("dir", directory_of(F.col("path")))
-    best = F.max_by(F.struct("license", "similarity"), F.struct("similarity", F.xxhash64("path")))
+    best = F.min_by(F.struct("license", "similarity"), F.struct((-F.col("similarity")).alias("s"), F.col("path")))
     holds = checkpointed(licensed.groupBy("dir").agg(best.alias("b")).select("dir", "b.license", "b.similarity"))
     directories = files.where(F.col("path").isNotNull()).select(directory_of(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
@@ -160,11 +162,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("above")))
     nearest = (directories.select("dir", F.inline(up)).join(holds.withColumnRenamed("dir", "above"), "above")
                .groupBy("dir").agg(F.max_by(F.struct("above", "license", "similarity"), "depth").alias("from")))
-    given = own.groupBy(F.col("file").alias("__file")).agg(F.max_by(F.struct("license", "similarity", "whole"), F.struct(
-        "similarity", "license")).alias("own"))
-    every = files.select("file", "path").withColumn("dir", directory_of(F.col("path")))
-    joined = (every.join(given, F.col("file").eqNullSafe(F.col("__file")), "left").drop("__file")
-              .join(nearest, "dir", "left"))
+    given = own.groupBy(F.col("file").alias("__row")).agg(F.min_by(F.struct("license", "similarity", "whole"), F.struct(
+        (-F.col("similarity")).alias("s"), F.col("license"))).alias("own"))
+    every = files.select("__row", "file", "path").withColumn("dir", directory_of(F.col("path")))
+    joined = every.join(given, "__row", "left").join(nearest, "dir", "left")
     how = (F.when(F.col("own.whole"), "file").when(F.col("own").isNotNull(), "header")
            .when(F.col("from").isNotNull(), "inherited").otherwise("none"))
     return joined.select("file", F.coalesce("own.license", "from.license").alias("license"),

@@ -452,6 +452,16 @@ def test_license_scan_and_inheritance(spark):
     assert license.scan(spark.createDataFrame([], "file bigint, path string, text string")).count() == 0
 
 
+def test_license_rows_without_or_with_repeated_ids(spark):
+    mit, gpl = license.TEMPLATES["MIT"][0], license.TEMPLATES["GPL-3.0"][0]
+    rows = [(None, "a/x.txt", mit), (None, "b/y.txt", "plain words only"), (5, "c/z.txt", gpl), (5, "d/w.txt", "plain words"),
+            (6, "e/LICENSE", mit), (7, "e/COPYING", mit), (8, "e/f/g.txt", "plain")]
+    out = license.scan(spark.createDataFrame(rows, "file bigint, path string, text string")).collect()
+    assert sorted(((r["file"], r["license"], r["how"], r["license_dir"]) for r in out), key=repr) == sorted([
+        (None, "MIT", "file", None), (None, None, "none", None), (5, "GPL-3.0", "file", None), (5, None, "none", None),
+        (6, "MIT", "file", None), (7, "MIT", "file", None), (8, "MIT", "inherited", "e")], key=repr)
+
+
 # 8 chat
 def test_chat_round_trip_of_hostile_texts():
     rng = random.Random(9)
