@@ -37,13 +37,18 @@ def distinct_labels(df: DataFrame, column: str) -> DataFrame:
 
 
 def group_rate(df: DataFrame, keys: Sequence[str], target: str = "is_cancelled") -> DataFrame:
-    """cancelled, total and cancel_rate per key; null keys are dropped, null targets do not count."""
+    """cancelled, total and cancel_rate per key; null keys are dropped, null targets do not count.
+
+    Null keys are dropped by a count taken with the group: a filter on a computed key is pushed below every step that
+    builds it, and there each mention of a step is written out (and evaluated) anew for every row.
+    """
+    known = F.lit(True)
     for k in keys:
-        df = df.where(F.col(k).isNotNull())
+        known = known & F.col(k).isNotNull()
     return df.groupBy(*keys).agg(
         F.coalesce(F.sum(target), F.lit(0)).cast("bigint").alias("cancelled"),
-        F.count(target).alias("total"),
-    ).withColumn("cancel_rate", ratio("cancelled", "total"))
+        F.count(target).alias("total"), F.count_if(known).alias("__known"),
+    ).where(F.col("__known") > 0).drop("__known").withColumn("cancel_rate", ratio("cancelled", "total"))
 
 
 def class_balance(df: DataFrame, target: str = "is_cancelled", n_features: int = 18) -> DataFrame:
