@@ -2,6 +2,9 @@
 
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
 from fareflow.operators import counts
 from fareflow.operators import features as ft
 from fareflow.plans import reports as rp
@@ -30,3 +33,25 @@ def test_hourly_rows_with_bad_times(spark):
                                 (date(2024, 1, 1), "24:00:00", 1), (date(2024, 1, 1), None, 1)],
                                "date date, time string, is_cancelled int")
     assert [tuple(r) for r in rp.hourly(ft.add_temporal(df)).collect()] == [(7, 2, 50.0)]
+
+
+def test_logistic_fits_on_collapsed_rows(spark, monkeypatch):
+    """Equal rows are fitted once, with the result of Spark's scaler and regression on every row."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    from fareflow.plans import models as m
+
+    df = spark.range(3000).select(
+        (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.lit(2.0).alias("c"),
+        ((F.col("id") * 7 % 11) < 3 + F.col("id") % 5).cast("int").alias("is_cancelled"))
+    features, fitted = ["a", "b", "c"], []
+    stage = m.balanced_weights
+    monkeypatch.setattr(m, "balanced_weights", lambda *p, **k: fitted.append(p[0]) or stage(*p, **k))
+    got = m.fit_logistic(df, features).stages[-1]
+    assert fitted[0].count() <= 30
+    plain = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_features"),
+                             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+                             m.logistic_stage(3000)]).fit(stage(df))
+    assert got.coefficients.toArray() == pytest.approx(plain.stages[-1].coefficients.toArray(), abs=1e-6)
+    assert got.intercept == pytest.approx(plain.stages[-1].intercept, abs=1e-6)
