@@ -83,9 +83,8 @@ def decile_log_odds(df: DataFrame, columns: Sequence[str], target: str = "is_can
 
 # -- mutual information --------------------------------------------------------------------------------
 
-def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str = "is_cancelled",
-                              bins: int = 20) -> DataFrame:
-    """Plug-in mutual information (nats) of equal-width bins and the target, per feature."""
+def _cells(df: DataFrame, columns: Sequence[str], target: str, bins: int) -> DataFrame:
+    """Rows per (feature, bin, y)."""
     # the bin edges are fitted first: two numbers per feature
     spans = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
                      for c in columns]).first()
@@ -94,8 +93,27 @@ def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str
         F.struct(F.lit(c).alias("feature"),
                  equal_width_bin(F.col(c).cast("double"), spans[c]["lo"], spans[c]["hi"], bins).alias("bin"))
         for c in ranged])
-    cells = (df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.inline(pairs))
-             .where(F.col("bin").isNotNull()).groupBy("feature", "bin", "y").agg(F.count("*").alias("o")))
+    return (df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.inline(pairs))
+            .where(F.col("bin").isNotNull()).groupBy("feature", "bin", "y").agg(F.count("*").alias("o")))
+
+
+def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str = "is_cancelled",
+                              bins: int = 20, few_values: bool = False) -> DataFrame:
+    """Plug-in mutual information (nats) of equal-width bins and the target, per feature.
+
+    ``few_values``: the columns are counted by value first, and spans and bins come from the counts, so the rows are
+    read once instead of twice. It is exact for any columns, and small for columns of few values.
+    """
+    if few_values:
+        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+        counts = checkpointed(df.select(F.col(target).alias("y"), F.inline(pairs)).where(F.col("value").isNotNull())
+                              .groupBy("feature", "value", "y").agg(F.count("*").alias("n")))
+        spans = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row each
+        cells = (counts.where(F.col("y").isNotNull()).join(F.broadcast(spans), "feature")
+                 .select("feature", equal_width_bin("value", "lo", "hi", bins).alias("bin"), "y", "n")
+                 .where(F.col("bin").isNotNull()).groupBy("feature", "bin", "y").agg(F.sum("n").alias("o")))
+    else:
+        cells = _cells(df, columns, target, bins)
     # at most bins x classes rows per feature from here on
     both = Window.partitionBy("feature")
     n = F.sum("o").over(both)

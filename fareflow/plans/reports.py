@@ -95,7 +95,7 @@ def top_locations(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 
 def feature_mi(df: DataFrame, features: Sequence[str] = MI_FEATURES) -> DataFrame:
-    mi = binned_mutual_information(df, features)
+    mi = binned_mutual_information(df, features, few_values=True)  # hours, codes, flags, waits of one decimal
     value = F.round("mutual_information", 4)
     return mi.select("feature", value.alias("mutual_information"), F.row_number().over(  # one row per feature
         Window.orderBy(value.desc(), "feature")).alias("rank_order"))
