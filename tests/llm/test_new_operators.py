@@ -285,3 +285,12 @@ def test_lm_long_streams_in_parts(monkeypatch):
     assert parted == pytest.approx(whole, rel=1e-9)
     tasks = lm_tables([pa.RecordBatch.from_arrays([pa.array([s])], names=["stream"]) for s in streams], bits)
     assert all(a.tolist() == b.tolist() for a, b in zip(tasks[0] + tasks[1], zeros + ones))
+
+
+def test_lm_start_weights_learn_from_all_training_text(spark, monkeypatch):
+    """No bound on the fitted bytes changes a score: every training text moves the starting weights."""
+    df = spark.createDataFrame([(i, f"the cat {i} sat on mat {i % 3} " * 20) for i in range(40)], "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark, df).collect()}
+    monkeypatch.setattr(lm_score, "MIXER_BYTES", 1, raising=False)
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark, df).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
