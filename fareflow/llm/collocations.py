@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareflow.llm.common import table
+from fareflow.llm.textnum import blocks
 from fareflow.scale import checkpointed
 
 MIN_COUNT = 100
@@ -35,6 +36,8 @@ MAX_WORDS = 5
 TOP = 2000
 #: Side of the dense tile: pairs of the ``TILE`` most frequent ids of a level are counted by direct address.
 TILE = 1024
+#: Bytes of text split into words at once, pairs held before they are counted, and rows sent to Spark at once.
+STEP_BYTES, HELD_PAIRS, OUT_ROWS = 1 << 20, 1 << 20, 1 << 17
 #: Most words and phrases sent to the tasks in one pass.
 BROADCAST_ENTRIES = 20_000_000
 
@@ -68,9 +71,7 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: (lang, word, n) for the words of its rows."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in blocks(batches, "text", STEP_BYTES):
         word_doc, words, _ = _flat(batch)
         langs = np.array(batch.column(0).to_pylist(), object)
         for lang in set(langs.tolist()):
@@ -82,16 +83,59 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      counted.field("counts").cast(pa.int64())], names=["lang", "word", "n"])
 
 
+def _pairs(lang: str, prefix: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, prefix, last, n): the tile by direct address, the rest as sorted packed keys, in slices of ``OUT_ROWS``."""
+    dense = (prefix < TILE) & (last < TILE)
+    tile = np.bincount(prefix[dense] * TILE + last[dense], minlength=1)
+    hit = np.flatnonzero(tile)
+    keys, n = np.unique((prefix[~dense] << 32) | last[~dense], return_counts=True)
+    keys = np.concatenate([(hit // TILE) << 32 | hit % TILE, keys])
+    n = np.concatenate([tile[hit], n])
+    for lo in range(0, len(keys), OUT_ROWS):
+        some = keys[lo: lo + OUT_ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(some), pa.string()), pa.array(some >> 32, pa.int64()),
+             pa.array(some & 0xFFFFFFFF, pa.int64()), pa.array(n[lo: lo + OUT_ROWS], pa.int64())],
+            names=["lang", "prefix", "last", "n"])
+
+
 def _pair_counter(words_by_lang: dict, levels_by_lang: dict, target: int):
-    """A function over Arrow batches giving (lang, prefix, last, n): counts of level-``target`` pairs in those batches."""
+    """A function over Arrow batches giving (lang, prefix, last, n): counts of level-``target`` pairs in those batches.
+
+    A batch is read in blocks of about ``STEP_BYTES``; the pairs of a language are held until ``HELD_PAIRS`` of all
+    languages are, then counted, so memory depends on neither the batch nor the task's rows.
+    """
+
+    def level_pairs(ids: np.ndarray, piece: np.ndarray, levels: dict) -> tuple[np.ndarray, np.ndarray]:
+        phrase = ids
+        for m in range(2, target + 1):
+            if len(phrase) < m:
+                break
+            prefix, last = phrase[: len(phrase) - 1], ids[m - 1:]
+            ok = (prefix >= 0) & (last >= 0) & (piece[: len(prefix)] == piece[m - 1:])
+            if m == target:
+                return prefix[ok], last[ok]
+            known, ranks = levels[m]
+            keys = (prefix << 32) | np.maximum(last, 0)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                phrase = np.where(ok & (known[at] == keys), ranks[at], -1)
+            else:
+                phrase = np.full(len(keys), -1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        pairs = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                yield from _pairs(lang, np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]))
+            held.clear()
+
+        for batch in blocks(batches, "text", STEP_BYTES):
             word_doc, words, piece_no = _flat(batch)
             langs = batch.column(0).to_pylist()
-            out_lang, out_prefix, out_last, out_n = [], [], [], []
             for lang in set(langs):
                 if lang not in words_by_lang:
                     continue
@@ -99,38 +143,14 @@ def _pair_counter(words_by_lang: dict, levels_by_lang: dict, target: int):
                 mask = docs_here[word_doc] if len(word_doc) else np.zeros(0, bool)
                 ids = pc.fill_null(pc.index_in(words.filter(pa.array(mask)), value_set=words_by_lang[lang]), -1)
                 ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-                piece = piece_no[mask]
-                phrase = ids
-                for m in range(2, target + 1):
-                    if len(phrase) < m:
-                        phrase = np.zeros(0, np.int64)
-                        break
-                    prefix, last = phrase[: len(phrase) - 1], ids[m - 1:]
-                    ok = (prefix >= 0) & (last >= 0) & (piece[: len(prefix)] == piece[m - 1:])
-                    if m == target:
-                        prefix, last = prefix[ok], last[ok]
-                        dense = (prefix < TILE) & (last < TILE)
-                        if dense.any():
-                            tile = np.bincount(prefix[dense] * TILE + last[dense], minlength=TILE * TILE)
-                            hit = np.flatnonzero(tile)
-                            out_prefix.append(hit // TILE), out_last.append(hit % TILE), out_n.append(tile[hit])
-                            out_lang.append(np.full(len(hit), lang, object))
-                        keys, n = np.unique((prefix[~dense] << 32) | last[~dense], return_counts=True)
-                        out_prefix.append(keys >> 32), out_last.append(keys & 0xFFFFFFFF), out_n.append(n)
-                        out_lang.append(np.full(len(keys), lang, object))
-                    else:
-                        known, ranks = levels_by_lang[lang][m]
-                        keys = (prefix << 32) | np.maximum(last, 0)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                            phrase = np.where(ok & (known[at] == keys), ranks[at], -1)
-                        else:
-                            phrase = np.full(len(keys), -1, np.int64)
-            if out_n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_lang), pa.string()), pa.array(np.concatenate(out_prefix), pa.int64()),
-                     pa.array(np.concatenate(out_last), pa.int64()), pa.array(np.concatenate(out_n), pa.int64())],
-                    names=["lang", "prefix", "last", "n"])
+                prefix, last = level_pairs(ids, piece_no[mask], levels_by_lang[lang])
+                if len(prefix):
+                    held.setdefault(lang, []).append((prefix, last))
+                    pairs += len(prefix)
+            if pairs >= HELD_PAIRS:
+                yield from counted()
+                pairs = 0
+        yield from counted()
 
     return count
 

@@ -294,3 +294,30 @@ def test_lm_start_weights_learn_from_all_training_text(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "MIXER_BYTES", 1, raising=False)
     got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark, df).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_collocation_pairs_in_blocks(monkeypatch):
+    """A batch is read block by block and pairs are held up to a bound; their counts are those of the whole batch."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("a b c d, e. f".split(" ")) for _ in range(rng.randint(0, 50))) for _ in range(200)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array([rng.choice(["en", "de", "xx"]) for _ in texts]), pa.array(texts)],
+                                       names=["lang", "text"])
+    words = {k: pa.array(["a", "b", "c", "d", "e"]) for k in ("en", "de")}
+    levels = {k: {2: (np.array([1, 1 << 32]), np.array([0, 1]))} for k in words}
+
+    def counts(target):
+        total = Counter()
+        for out in collocations._pair_counter(words, levels, target)(iter([batch])):
+            sizes.append(out.num_rows)
+            for lang, prefix, last, k in zip(*(c.to_pylist() for c in out.columns)):
+                total[(lang, prefix, last)] += k
+        return total
+
+    sizes: list[int] = []
+    want = [counts(2), counts(3)]
+    assert all(want)
+    monkeypatch.setattr(collocations, "TILE", 2)
+    for name, value in (("STEP_BYTES", 100), ("HELD_PAIRS", 20), ("OUT_ROWS", 3)):
+        monkeypatch.setattr(collocations, name, value)
+    sizes.clear()
+    assert [counts(2), counts(3)] == want and max(sizes) <= 3 and len(sizes) > 20
