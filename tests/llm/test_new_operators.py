@@ -296,6 +296,41 @@ def test_lm_start_weights_learn_from_all_training_text(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_lm_own_counts_and_nibble_counts():
+    """Counting nibbles gives the counts of bits, and the sorted runs take out what a plain count of each stream does."""
+    rng = random.Random(6)
+    streams = ["".join(rng.choice(["ab", "abc", "b", "é"]) + " " for _ in range(rng.randint(0, 60))) + "\n" for _ in range(7)]
+    bits = 16
+    zeros, ones, _ = lm_model(streams, bits)
+    b = lm_score._Batch(*textnum.text_bytes(pa.array(streams)), bits)
+    n = 8 * len(b.data)
+    y, j, slots = b.bits(np.arange(n))
+    for o in range(len(lm_score.ORDERS)):
+        assert np.bincount(slots[y == 0, o], minlength=1 << bits).tolist() == zeros[o].tolist()
+        assert np.bincount(slots[y == 1, o], minlength=1 << bits).tolist() == ones[o].tolist()
+    inputs, classes = lm_score._own_inputs(b, [z.astype(np.uint32) << 16 | k for z, k in zip(zeros, ones)])
+    doc = b.doc[np.arange(n) >> 3]
+    for o in range(len(lm_score.ORDERS)):
+        own = Counter(zip(doc, slots[:, o], y))
+        for i in range(0, n, 5):
+            z, k = int(zeros[o][slots[i, o]]), int(ones[o][slots[i, o]])
+            mine = own[(doc[i], slots[i, o], y[i])]
+            z, k = (z, k - mine) if y[i] else (z - mine, k)
+            want = max(-8, min(8, math.log((k + 0.4) / (z + 0.4))))
+            assert inputs[o, j[i] // 4, i >> 3, j[i] % 4] == pytest.approx(want, abs=1e-5)
+            if o == lm_score._LONG:
+                assert classes[j[i] // 4, i >> 3, j[i] % 4] == min((z + k + 2) // 3, 2)
+
+
+def test_lm_streams_match_words():
+    rng = random.Random(1)
+    letters = ["A", "z", " ", "\t", "\n", "\x0b", "\x0c", "\r", "é", "Ü", " ", "\x1c", "."]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(500)] + [None, "", " "]
+    got = [x for b in lm_score._streams(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["stream"])]))
+           for x in b.column("stream").to_pylist()]
+    assert got == ["".join(w + " " for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))) + "\n" for t in texts]
+
+
 def test_collocation_pairs_in_blocks(monkeypatch):
     """A batch is read block by block and pairs are held up to a bound; their counts are those of the whole batch."""
     rng = random.Random(8)
