@@ -1,6 +1,7 @@
 """A forest grown in parts equals the average of its parts, tree by tree."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -34,3 +35,29 @@ def test_forest_parts_average_their_trees(spark, tmp_path):
     forest.write().overwrite().save(str(tmp_path / "whole"))
     again = PipelineModel.load(str(tmp_path / "whole"))
     assert probs(again) == pytest.approx(probs(forest), abs=1e-15)
+
+
+def test_fits_run_side_by_side(spark, monkeypatch):
+    """Two parts of a forest, and both boosters of the table of rounds, are grown at once: each waits for the other."""
+    from fareflow.catalog import models as queries
+
+    pair = threading.Barrier(2, timeout=60)
+
+    def waiting(fit):
+        def each(*args, **more):
+            pair.wait()
+            return fit(*args, **more)
+        return each
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), i % 5 % 2, "train" if i % 4 else "val") for i in range(200)],
+                               "a double, b double, is_cancelled int, split string")
+    monkeypatch.setattr(m, "fit_forest", waiting(m.fit_forest))
+    folder = f"{ensure_checkpoint_dir(spark)}/forest-pair-{random.random()}"
+    forest = m.fit_forest_parts(df, folder, ["a", "b"], trees=4, depth=2, part_trees=2)
+    assert len(forest.stages[-1].trees) == 4
+    monkeypatch.setattr(queries, "silver_rows", lambda spark, sf: df)
+    monkeypatch.setattr(m, "fit_boosting", waiting(lambda train, **more: more))
+    monkeypatch.setattr(queries.boosting, "early_stopped", lambda fitted, val, metric: (None, spark.createDataFrame(
+        [(1, 0.5, 0.5, fitted.get("seed", 0))], "round int, pr_area double, average_precision double, best_round int"), 1))
+    got = sorted(tuple(r) for r in queries.ml_gbt_rounds(spark, "").select("model_name", "metric", "best_round").collect())
+    assert got == [("Boosting A", "pr_area", 0), ("Boosting B", "average_precision", 7)]
