@@ -322,6 +322,28 @@ def test_lm_own_counts_and_nibble_counts():
                 assert classes[j[i] // 4, i >> 3, j[i] % 4] == min((z + k + 2) // 3, 2)
 
 
+def test_lm_paths_hold_the_nodes_of_each_nibble():
+    """One lookup of a nibble gives its four nodes; inputs and scores from paths are those from nodes, the counts full."""
+    rng = random.Random(12)
+    nodes = np.arange(64, dtype=np.uint32)
+    paths = lm_score._paths(nodes).view(np.uint32).reshape(-1, 4)
+    for block, nibble in ((b, v) for b in range(0, 64, 16) for v in range(16)):
+        assert paths[(block | nibble) >> 1].tolist() == [block | (nibble | 16) >> (4 - bit) for bit in range(4)]
+    streams = ["".join(rng.choice(["ab", "abc", "b", "é"]) + " " for _ in range(rng.randint(0, 900))) + "\n" for _ in range(5)]
+    zeros, ones, by_node = lm_model(streams, 16)
+    zeros[0][:], ones[0][:] = np.minimum(zeros[0], 3), np.minimum(ones[0], 3)  # fewer than a stream's own, as after scaling
+    b = lm_score._Batch(*textnum.text_bytes(pa.array(streams)), 16)
+    plain = lm_score._own_inputs(b, [z.astype(np.uint32) << 16 | k for z, k in zip(zeros, ones)])
+    for got, want in zip(lm_score._own_inputs(b, lm_score._packed_paths(zeros, ones)), plain):
+        assert np.array_equal(got, want) and np.isfinite(got).all()
+    zeros, ones, by_node = lm_model(streams, 16)
+    scores = []
+    for model in (by_node, lm_score._stretched_paths(zeros, ones)):
+        scores.append(np.zeros(len(streams)))
+        lm_score._mix(b, model, lm_score.Mixer(lm_score._start(), len(streams)), scores[-1])
+    assert scores[0].tolist() == scores[1].tolist()
+
+
 def test_lm_streams_match_words():
     rng = random.Random(1)
     letters = ["A", "z", " ", "\t", "\n", "\x0b", "\x0c", "\r", "é", "Ü", " ", "\x1c", "."]
