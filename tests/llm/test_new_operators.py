@@ -344,6 +344,45 @@ def test_lm_paths_hold_the_nodes_of_each_nibble():
     assert scores[0].tolist() == scores[1].tolist()
 
 
+def test_lm_tables_have_a_slot_for_each_training_byte(spark, monkeypatch):
+    """The tables grow with the training text from the start, so contexts seen once are still told apart: a held-out text
+    is then predicted better than by tables of the least size."""
+    for n in (0, 1, 1 << 16, 23_000_000 // 2, (1 << 23) - 1):
+        assert 1 << lm_score.table_bits(n) >= n
+    assert [lm_score.table_bits(n) for n in (0, 1 << 15, 100_000, 1 << 40)] == [16, 16, 18, lm_score.MAX_TABLE_BITS]
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(150)], "doc_id long, text string")
+    held = [r["score"] for r in lm_score.lm_scores(spark, df).collect() if r["held_out"]]
+    monkeypatch.setattr(lm_score, "table_bits", lambda train_bytes: 16)
+    least = [r["score"] for r in lm_score.lm_scores(spark, df).collect() if r["held_out"]]
+    assert held and sum(held) > 0.97 * sum(least)
+
+
+def test_lm_sent_counts_unpack_to_the_same_tables(monkeypatch):
+    """Counts take the bytes that the largest needs; tables made block by block, by path or node, are those made whole."""
+    for top, width in ((255, 1), (256, 2), (70_000, 4), (1 << 33, 8)):
+        leaves = np.zeros(lm_score.BLOCK_SLOTS, np.int64)
+        leaves[3] = top
+        blob = lm_score._pack(leaves)
+        assert blob[0] == 16 + width and lm_score._unpack_as_sent(blob).tolist() == leaves.tolist()
+        assert lm_score._unpack(blob)[1, 1] == 0 and lm_score._unpack(blob)[0, 1] == top
+    bits, rng = 18, np.random.default_rng(2)
+    sent = [(b, lm_score._pack(rng.integers(0, 9, (2, lm_score.BLOCK_SLOTS)))) for b in (0, 3, 5, 9, 15)]
+    zeros, ones = lm_score._tables(sent, bits)
+    packed, stretched = lm_score._packed_paths(zeros, ones), lm_score._stretched_paths(zeros, ones)
+    for got, want in ((lm_score._unpacked_tables("a", sent, bits, False)[0], packed),
+                      (lm_score._unpacked_tables("a", sent, bits, True)[0], stretched[0]),
+                      ([lm_score._unpacked_tables("a", sent, bits, True)[1]], [stretched[1]])):
+        assert [g.tobytes() for g in got] == [w.tobytes() for w in want]
+    monkeypatch.setattr(lm_score, "MAX_PATH_BITS", 17)
+    by_node, classes = lm_score._unpacked_tables("b", sent, bits, True)
+    assert [lm_score._paths(n).tobytes() for n in by_node] == [w.tobytes() for w in stretched[0]]
+    assert lm_score._paths(classes).tobytes() == stretched[1].tobytes()
+    by_node, _ = lm_score._unpacked_tables("b", sent, bits, False)
+    assert [lm_score._paths(n).tobytes() for n in by_node] == [w.tobytes() for w in packed]
+
+
 def test_lm_streams_match_words():
     rng = random.Random(1)
     letters = ["A", "z", " ", "\t", "\n", "\x0b", "\x0c", "\r", "é", "Ü", " ", "\x1c", "."]
