@@ -37,6 +37,22 @@ def test_forest_parts_average_their_trees(spark, tmp_path):
     assert probs(again) == pytest.approx(probs(forest), abs=1e-15)
 
 
+def test_kept_node_ids_give_the_same_trees(spark):
+    """The forest keeps each row's node and has the trees of one that walks every row from the root."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.random(), float(rng.randint(0, 4)), rng.gauss(0, 1), int(rng.random() < 0.3))
+                                for _ in range(900)], "a double, b double, c double, is_cancelled int").repartition(3).cache()
+    got = m.fit_forest(df, FEATURES, trees=6, depth=9).stages[-1]
+    assert got.getCacheNodeIds()
+    stage = RandomForestClassifier(featuresCol="raw_features", labelCol="is_cancelled", weightCol=m.WEIGHT, numTrees=6, maxDepth=9,
+                                   minInstancesPerNode=5, seed=m.SEED)
+    plain = Pipeline(stages=[m._assembler(FEATURES), stage]).fit(m.balanced_weights(df)).stages[-1]
+    assert got.toDebugString.splitlines()[1:] == plain.toDebugString.splitlines()[1:]
+
+
 def test_fits_run_side_by_side(spark, monkeypatch):
     """Two parts of a forest, and both boosters of the table of rounds, are grown at once: each waits for the other."""
     from fareflow.catalog import models as queries
