@@ -53,6 +53,28 @@ def test_kept_node_ids_give_the_same_trees(spark):
     assert got.toDebugString.splitlines()[1:] == plain.toDebugString.splitlines()[1:]
 
 
+def test_importance_fits_run_side_by_side(spark, monkeypatch):
+    """All four models of the importance tables are fitted at once: each waits for the others."""
+    from fareflow.catalog import models as queries
+
+    four = threading.Barrier(4, timeout=60)
+
+    def fit(name):
+        def waiting(*args, **more):
+            four.wait()
+            return name, more.get("seed")
+        return waiting
+
+    monkeypatch.setattr(queries, "silver_rows", lambda spark, sf: None)
+    for name in ("_logistic", "_forest", "_boosting"):
+        monkeypatch.setattr(queries, name, fit(name))
+    monkeypatch.setattr(m, "importances", lambda spark, model, name, top: spark.createDataFrame(
+        [(name, *model)], "model_name string, fit string, seed int"))
+    assert [tuple(r) for r in queries.ml_importance(spark, "").collect()] == [
+        ("Logistic Regression", "_logistic", None), ("Random Forest", "_forest", None),
+        ("Boosting A", "_boosting", None), ("Boosting B", "_boosting", 7)]
+
+
 def test_fits_run_side_by_side(spark, monkeypatch):
     """Two parts of a forest, and both boosters of the table of rounds, are grown at once: each waits for the other."""
     from fareflow.catalog import models as queries
