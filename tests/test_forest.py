@@ -75,6 +75,23 @@ def test_importance_fits_run_side_by_side(spark, monkeypatch):
         ("Boosting A", "_boosting", None), ("Boosting B", "_boosting", 7)]
 
 
+def test_tuned_evaluation_scores_each_row_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i % 10 / 10, int(i % 3 == 0), ["train", "val", "test"][i % 3 if i % 2 else i % 4 % 3]) for i in range(240)],
+                               "p double, is_cancelled int, split string").cache()
+    seen = spark.sparkContext.accumulator(0)
+
+    def scored(p):
+        seen.add(1)
+        return p
+
+    monkeypatch.setattr(m, "score", lambda model, rows: rows.withColumn(m.PROB, F.udf(scored, "double").asNondeterministic()("p")))
+    rows = m.tuned_evaluation(None, df, "x").collect()
+    assert sorted(r["split"] for r in rows) == ["test", "val"]
+    assert seen.value == df.where("split <> 'train'").count()
+
+
 def test_fits_run_side_by_side(spark, monkeypatch):
     """Two parts of a forest, and both boosters of the table of rounds, are grown at once: each waits for the other."""
     from fareflow.catalog import models as queries
