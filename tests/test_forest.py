@@ -92,6 +92,26 @@ def test_tuned_evaluation_scores_each_row_once(spark, monkeypatch):
     assert seen.value == df.where("split <> 'train'").count()
 
 
+def test_large_grid_fits_one_at_a_time(spark, monkeypatch):
+    """Above the bound on rows a grid has one fit's copy of the rows, kept as parquet; the results are the same."""
+    asked = []
+    search = m.CrossValidator
+    monkeypatch.setattr(m, "CrossValidator", lambda **more: asked.append(more["parallelism"]) or search(**more))
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, float(a := rng.randint(0, 5)), float(rng.randint(0, 3)), int(rng.random() < 0.1 + a / 8))
+                                for i in range(600)], "id long, a double, b double, is_cancelled int")
+    some = dict(cs=[0.1, 1], penalties=["l2"], folds=2, max_iter=20, features=["a", "b"])
+    small = [tuple(r) for r in m.grid_search(df, ["id"], **some)[0].orderBy("c").collect()]
+    files = []
+    write = m.written
+    monkeypatch.setattr(m, "written", lambda rows: files.append(write(rows)) or files[-1])
+    monkeypatch.setattr(m, "GRID_ROWS", 10)
+    large = [tuple(r) for r in m.grid_search(df, ["id"], **some)[0].orderBy("c").collect()]
+    assert asked == [4, 1] and all(f.endswith(".parquet") for f in files[0].inputFiles())
+    for a, b in zip(small, large, strict=True):
+        assert a == pytest.approx(b, abs=1e-6)
+
+
 def test_fits_run_side_by_side(spark, monkeypatch):
     """Two parts of a forest, and both boosters of the table of rounds, are grown at once: each waits for the other."""
     from fareflow.catalog import models as queries
